@@ -21,6 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 VOCABULARIES = "/opt/tokenizers"
 #: Code points that are encoded together; bounds the arrays a task holds beside its longest text.
@@ -207,7 +208,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     come out as often as they come in; other columns are not read. The order of rows is kept within a
     partition. No shuffle.
     """
-    schema = docs.select(id_col).schema.add("ids", "array<int>")
+    schema = T.StructType([docs.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)
@@ -221,7 +222,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def token_sizes(docs: DataFrame, keep: list[str], text_col: str = "text", folder: str = VOCABULARIES, name: str = "byte_bpe_50k") -> DataFrame:
     """The columns `keep` and `tokens`, the number of tokens of the text (0 for null and empty texts)."""
-    schema = docs.select(*keep).schema.add("tokens", "bigint")
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("tokens", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(folder, name)
