@@ -4,19 +4,122 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabseg.llm import frequency, mix, percentiles
 from tabseg.llm.tokens import encode_corpus
-from tabseg.session import read
+from tabseg.operators.fill import with_port
+from tabseg.session import finite, materialise, read, trimmed_key
+
+
+def _categories(spark: SparkSession, d: str) -> DataFrame:
+    """col, val, record of the columns with limits, as read by the rules of the data."""
+    t = with_port(read(spark, d, "titanic"), read(spark, d, "ports")).select(
+        F.col("passenger_id").alias("record"), F.explode(F.array(_pair("titanic.embarked", F.col("port")), _pair("titanic.city", trimmed_key(F.col("city"))))).alias("x")
+    )
+    m = read(spark, d, "mixed_rows").select(
+        F.col("record_no").cast("string").alias("record"), F.explode(F.array(_pair("mixed_rows.cat_1", F.upper(trimmed_key(F.col("cat_1")))), _pair("mixed_rows.cat_2", trimmed_key(F.col("cat_2"))))).alias("x")
+    )
+    return t.unionByName(m).select("x.col", "x.val", "record").where(F.col("val").isNotNull())
+
+
+def _pair(col: str, val: Column) -> Column:
+    return F.struct(F.lit(col).alias("col"), val.alias("val"))
+
+
+def _limits(spark: SparkSession, d: str) -> DataFrame:
+    m = read(spark, d, "column_meta").where(F.col("min_records").isNotNull() | F.col("max_share").isNotNull())
+    return m.select(F.concat_ws(".", "table_name", "col_name").alias("col"), "min_records", "max_share")
+
+
+def p3_marked(spark: SparkSession, d: str) -> DataFrame:
+    rows = _categories(spark, d)
+    return frequency.mark_values(frequency.count_values(rows), frequency.stated_records(rows), _limits(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_marked(spark, d).where(F.col("mark").isNotNull()).select("col", "val", "mark")
+
+
+def p3_columns(spark: SparkSession, d: str) -> DataFrame:
+    """New n_categories per column: kept values, plus one for rare_value if any value is replaced by it."""
+    rare = F.coalesce(F.col("mark") == "rare", F.lit(False))
+    per = p3_marked(spark, d).groupBy("col").agg(F.count_distinct("val").alias("n_values"), F.count_distinct(F.when(rare, F.col("val"))).alias("n_rare"))
+    return per.select("col", "n_values", "n_rare", (F.col("n_values") - F.col("n_rare") + (F.col("n_rare") > 0).cast("bigint")).alias("n_categories"))
+
+
+PCTS = [5, 25, 50, 75, 95, 99]
+
+
+def p4_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    t, m = read(spark, d, "titanic"), read(spark, d, "mixed_rows")
+    month = F.when(F.col("origin").isNotNull() & F.col("obs_at").isNotNull(), F.concat_ws("|", "origin", F.date_format("obs_at", "yyyy-MM")))
+    fares = percentiles.value_counts(t.where(F.col("fare") >= 0), F.concat(F.lit("t"), F.col("voyage_id")), F.col("fare"))
+    conts = percentiles.value_counts(m, F.concat(F.lit("m"), month), F.col("cont_2"))
+    got = percentiles.percentiles(materialise(fares.unionByName(conts)), PCTS)
+    of_t = F.substring("grp", 1, 1) == "t"
+    got = got.select(F.when(of_t, "titanic").otherwise("mixed_rows").alias("table_name"), F.when(of_t, "fare").otherwise("cont_2").alias("col_name"), F.expr("substring(grp, 2)").alias("grp"), "pct", "value")
+    return percentiles.place_in_edges(got, read(spark, d, "bin_specs")).select("table_name", "grp", "pct", "value", "bin_no")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_percentiles(spark, d).select("table_name", "grp", "pct", "bin_no")
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(read(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    targets = read(spark, d, "source_targets")
+    return mix.allocate(mix.sized_documents(read(spark, d, "documents"), targets), targets).where("short").select("source")
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document enters the mixture."""
+    targets = read(spark, d, "source_targets")
+    sized = mix.sized_documents(read(spark, d, "documents"), targets)
+    return mix.draw(sized, mix.allocate(sized, targets)).select("doc_id", F.col("key").alias("source"), "tokens", "copies")
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    targets = read(spark, d, "source_targets")
+    sized = mix.sized_documents(read(spark, d, "documents"), targets)
+    allocation = mix.allocate(sized, targets)
+    return mix.shares(allocation, mix.draw(sized, allocation))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {f.__name__: f for f in (p3_found, p3_columns, p4_found, p4_percentiles, p7_ids, p8_found, p8_mix, p8_shares)}
+
+
+_TRIM = "regexp_replace(lower({}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
+_KEY = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+_MARKED = f"""
+WITH k AS (SELECT {_KEY.format("port_code")} AS k, port_code AS port FROM ports UNION SELECT {_KEY.format("port_name")}, port_code FROM ports),
+x AS (SELECT 'titanic.embarked' AS col, k.port AS val, passenger_id AS rec FROM titanic JOIN k ON {_KEY.format("embarked")} = k.k
+UNION ALL SELECT 'titanic.city', {_TRIM.format("city")}, passenger_id FROM titanic WHERE regexp_matches(city, '\\p{{L}}')
+UNION ALL SELECT 'mixed_rows.cat_1', upper({_TRIM.format("cat_1")}), CAST(record_no AS VARCHAR) FROM mixed_rows WHERE regexp_matches(cat_1, '\\p{{L}}')
+UNION ALL SELECT 'mixed_rows.cat_2', {_TRIM.format("cat_2")}, CAST(record_no AS VARCHAR) FROM mixed_rows WHERE regexp_matches(cat_2, '\\p{{L}}')),
+n AS (SELECT col, val, count(DISTINCT rec) AS r FROM x GROUP BY 1, 2), t AS (SELECT col, count(DISTINCT rec) AS total FROM x GROUP BY 1),
+l AS (SELECT concat(table_name, '.', col_name) AS col, min_records, max_share FROM column_meta WHERE min_records IS NOT NULL OR max_share IS NOT NULL),
+b AS (SELECT n.col, val, r, r < min_records AS rare, r > max_share * total AS common FROM n JOIN t ON n.col = t.col JOIN l ON n.col = l.col)
+"""
+_PCT = """
+WITH x AS (SELECT 'titanic' AS table_name, 'fare' AS col_name, voyage_id AS grp, fare AS v FROM titanic WHERE isfinite(fare) AND fare >= 0
+UNION ALL SELECT 'mixed_rows', 'cont_2', concat(origin, '|', strftime(obs_at, '%Y-%m')), cont_2 FROM mixed_rows WHERE isfinite(cont_2)),
+r AS (SELECT table_name, col_name, grp, v, row_number() OVER (PARTITION BY table_name, grp ORDER BY v) AS k, count(*) OVER (PARTITION BY table_name, grp) AS n FROM x),
+p AS (SELECT unnest([5, 25, 50, 75, 95, 99]) AS pct),
+q AS (SELECT table_name, col_name, grp, CAST(pct AS INTEGER) AS pct, v AS value FROM r, p WHERE k = (pct * n + 99) // 100)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    bins = "CAST(len(list_filter(b.edges, lambda e: e <= value)) AS INTEGER) AS bin_no FROM q JOIN bin_specs b ON q.table_name = b.table_name AND q.col_name = b.col_name"
+    return {
+        "p3_found": _MARKED + "SELECT col, val, 'rare' AS mark FROM b WHERE rare UNION ALL SELECT col, val, 'common' FROM b WHERE common",
+        "p3_columns": _MARKED + ", c AS (SELECT col, count(DISTINCT val) AS n_values, count(DISTINCT CASE WHEN rare THEN val END) AS n_rare FROM b GROUP BY 1) SELECT col, n_values, n_rare, n_values - n_rare + CASE WHEN n_rare > 0 THEN 1 ELSE 0 END AS n_categories FROM c",
+        "p4_found": _PCT + f"SELECT q.table_name, grp, pct, {bins}",
+        "p4_percentiles": _PCT + f"SELECT q.table_name, grp, pct, value, {bins}",
+    }
