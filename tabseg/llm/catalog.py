@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabseg.llm import frequency, mix, percentiles
+from tabseg.llm import cluster, frequency, mix, percentiles
 from tabseg.llm.tokens import encode_corpus
-from tabseg.operators.fill import with_port
+from tabseg.operators.fill import stated_age, with_port
 from tabseg.session import finite, materialise, read, trimmed_key
 
 
@@ -49,6 +49,44 @@ def p3_columns(spark: SparkSession, d: str) -> DataFrame:
     return per.select("col", "n_values", "n_rare", (F.col("n_values") - F.col("n_rare") + (F.col("n_rare") > 0).cast("bigint")).alias("n_categories"))
 
 
+def _titanic_numbers(df: DataFrame) -> tuple[DataFrame, Column]:
+    """Rows with stated age and positive finite fare; fares are compared by ratio, so their logarithm is used."""
+    rows = df.withColumn("log_fare", F.ln(F.when(finite(F.col("fare")) & (F.col("fare") > 0), F.col("fare")))).withColumn("age", stated_age(F.col("age")))
+    return rows.where(F.col("age").isNotNull() & F.col("log_fare").isNotNull()), F.substring(trimmed_key(F.col("sex")), 1, 1)
+
+
+def _mixed_numbers(df: DataFrame) -> tuple[DataFrame, Column]:
+    category = F.upper(trimmed_key(F.col("cat_1")))
+    return df.where(finite(F.col("cont_1")) & finite(F.col("cont_2")) & finite(F.col("cont_3")) & category.isNotNull()), category
+
+
+def _segments(spark: SparkSession, d: str, table: str) -> tuple[DataFrame, cluster.Segments, DataFrame]:
+    """Members of every segment of a table, the model, and the exemplars' segments."""
+    numbers, of = (["age", "log_fare"], _titanic_numbers) if table == "titanic" else (["cont_1", "cont_2", "cont_3"], _mixed_numbers)
+    rows, category = of(read(spark, d, table))
+    model = cluster.fit_segments(rows, numbers, category)
+    shown, category = of(read(spark, d, "exemplars").where(F.col("table_name") == table))
+    known = cluster.assign(shown, model, category, ["exemplar_id"]).where(F.col("segment").isNotNull()).groupBy("segment").agg(F.min("exemplar_id").alias("exemplar_id"))
+    return cluster.assign(rows, model, category, ["row_id"]), model, known
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    out = []
+    for table in ("titanic", "mixed_rows"):
+        members, _, known = _segments(spark, d, table)
+        out.append(members.join(F.broadcast(known), "segment").select(F.lit(table).alias("table_name"), "row_id", "exemplar_id"))
+    return out[0].unionByName(out[1])
+
+
+def p2_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Size and most typical members of each segment."""
+    out = []
+    for table in ("titanic", "mixed_rows"):
+        members, model, known = _segments(spark, d, table)
+        out.append(cluster.describe(members, model, "row_id").join(F.broadcast(known), "segment", "left").select(F.lit(table).alias("table_name"), "segment", "exemplar_id", "size", "typical"))
+    return out[0].unionByName(out[1])
+
+
 PCTS = [5, 25, 50, 75, 95, 99]
 
 
@@ -91,7 +129,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_columns, p4_found, p4_percentiles, p7_ids, p8_found, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_columns, p4_found, p4_percentiles, p7_ids, p8_found, p8_mix, p8_shares)}
 
 
 _TRIM = "regexp_replace(lower({}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
