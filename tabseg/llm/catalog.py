@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabseg.llm import cluster, frequency, mix, percentiles
+from tabseg.llm import cluster, frequency, mix, neighbours, percentiles
 from tabseg.llm.tokens import encode_corpus
 from tabseg.operators.fill import stated_age, with_port
 from tabseg.session import finite, materialise, read, trimmed_key
@@ -105,6 +105,31 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_percentiles(spark, d).select("table_name", "grp", "pct", "bin_no")
 
 
+def _collection(spark: SparkSession, d: str) -> DataFrame:
+    """id, grp (month), x and is_probe of the searchable rows: finite, one per record_no (smallest row_id) and month.
+
+    Rows without a record_no stand for themselves; rows without obs_at are left out.
+    """
+    c = ["cont_1", "cont_2", "cont_3"]
+    m = read(spark, d, "mixed_rows").where(finite(F.col(c[0])) & finite(F.col(c[1])) & finite(F.col(c[2])) & F.col("obs_at").isNotNull())
+    record = F.coalesce(F.col("record_no"), -F.col("row_id") - 1)
+    m = m.groupBy(record.alias("record"), F.date_format("obs_at", "yyyy-MM").alias("grp")).agg(F.min(F.struct("row_id", neighbours.vector(c).alias("x"), "is_probe")).alias("r"))
+    return m.select(F.col("r.row_id").alias("id"), "grp", "r.x", "r.is_probe")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = materialise(_collection(spark, d))
+    got = neighbours.nearest_rows(rows.select("id", "grp", "x"), rows.where("is_probe").select("id", "grp", "x"), k=5)
+    return got.select(F.least("qid", "id").alias("row_id_a"), F.greatest("qid", "id").alias("row_id_b")).distinct()
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five nearest of every row whose row_id is divisible by 50, against all rows."""
+    rows = materialise(_collection(spark, d))
+    got = neighbours.nearest_rows(rows.select("id", "grp", "x"), rows.where("id % 50 = 0").select("id", "grp", "x"), k=5)
+    return got.select(F.col("qid").alias("row_id"), F.col("id").alias("neighbour"), F.round("dist", 6).alias("dist"), "rank")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(read(spark, d, "documents"))
 
@@ -129,7 +154,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_columns, p4_found, p4_percentiles, p7_ids, p8_found, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_columns, p4_found, p4_percentiles, p5_found, p5_neighbours, p7_ids, p8_found, p8_mix, p8_shares)}
 
 
 _TRIM = "regexp_replace(lower({}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
