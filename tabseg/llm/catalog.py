@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabseg.llm import cluster, frequency, mix, neighbours, percentiles
+from tabseg.llm import cluster, frequency, mix, neighbours, percentiles, varied
 from tabseg.llm.tokens import encode_corpus
 from tabseg.operators.fill import stated_age, with_port
 from tabseg.session import finite, materialise, read, trimmed_key
@@ -130,6 +130,20 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("qid").alias("row_id"), F.col("id").alias("neighbour"), F.round("dist", 6).alias("dist"), "rank")
 
 
+def p6_select(spark: SparkSession, d: str) -> DataFrame:
+    """The rows chosen for each origin, with their stratum; `rare` marks those that any choice must keep."""
+    m = read(spark, d, "mixed_rows")
+    reports = read(spark, d, "compression_reports").where((F.col("n_prototypes") > 0) & F.col("origin").isNotNull())
+    latest = reports.groupBy(F.col("origin").alias("scope")).agg(F.max_by("n_prototypes", F.struct("run_at", "report_id")).alias("wanted"))
+    cats = [trimmed_key(F.col("cat_1")), trimmed_key(F.col("cat_2")), F.col("binary_1"), F.col("binary_2")]
+    placed = varied.strata(m, "row_id", "record_no", F.col("origin"), F.date_format("obs_at", "yyyy-MM"), cats, ["cont_1", "cont_2", "cont_3"], F.upper(cats[0]))
+    return varied.choose(placed, latest).select(F.col("id").alias("row_id"), F.col("scope").alias("origin"), "stratum", "rare")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_select(spark, d).where("rare").select("row_id")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(read(spark, d, "documents"))
 
@@ -154,7 +168,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_columns, p4_found, p4_percentiles, p5_found, p5_neighbours, p7_ids, p8_found, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_columns, p4_found, p4_percentiles, p5_found, p5_neighbours, p6_found, p6_select, p7_ids, p8_found, p8_mix, p8_shares)}
 
 
 _TRIM = "regexp_replace(lower({}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
@@ -183,6 +197,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _MARKED + "SELECT col, val, 'rare' AS mark FROM b WHERE rare UNION ALL SELECT col, val, 'common' FROM b WHERE common",
         "p3_columns": _MARKED + ", c AS (SELECT col, count(DISTINCT val) AS n_values, count(DISTINCT CASE WHEN rare THEN val END) AS n_rare FROM b GROUP BY 1) SELECT col, n_values, n_rare, n_values - n_rare + CASE WHEN n_rare > 0 THEN 1 ELSE 0 END AS n_categories FROM c",
+        "p6_found": rf"""
+WITH x AS (SELECT row_id, record_no, strftime(obs_at, '%Y-%m') AS mo, {_TRIM.format("cat_1")} AS a, {_TRIM.format("cat_2")} AS b, binary_1 AS c, binary_2 AS e FROM mixed_rows
+WHERE regexp_matches(cat_1, '\p{{L}}') AND regexp_matches(cat_2, '\p{{L}}') AND binary_1 IS NOT NULL AND binary_2 IS NOT NULL),
+r AS (SELECT mo, a, b, c, e FROM x GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT record_no) < 3)
+SELECT min(x.row_id) AS row_id FROM x JOIN r ON x.mo = r.mo AND x.a = r.a AND x.b = r.b AND x.c = r.c AND x.e = r.e GROUP BY x.mo, x.a, x.b, x.c, x.e, x.record_no
+""",
         "p4_found": _PCT + f"SELECT q.table_name, grp, pct, {bins}",
         "p4_percentiles": _PCT + f"SELECT q.table_name, grp, pct, value, {bins}",
     }
