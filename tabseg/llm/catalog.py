@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabseg.llm import cluster, frequency, mix, neighbours, percentiles, varied
+from tabseg.llm import cluster, frequency, mix, neighbours, percentiles, residue, varied
 from tabseg.llm.tokens import encode_corpus
 from tabseg.operators.fill import stated_age, with_port
 from tabseg.session import finite, materialise, read, trimmed_key
@@ -167,8 +167,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(allocation, mix.draw(sized, allocation))
 
 
+def p9_residue(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with residue, its kind and the sentence that shows it."""
+    return residue.find_residue(read(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_residue(spark, d).select("doc_id").distinct()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_columns, p4_found, p4_percentiles, p5_found, p5_neighbours, p6_found, p6_select, p7_ids, p8_found, p8_mix, p8_shares)}
+    return {f.__name__: f for f in (p2_found, p2_segments, p3_found, p3_columns, p4_found, p4_percentiles, p5_found, p5_neighbours, p6_found, p6_select, p7_ids, p8_found, p8_mix, p8_shares, p9_found, p9_residue)}
 
 
 _TRIM = "regexp_replace(lower({}), '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')"
