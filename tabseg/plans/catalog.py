@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabseg.plans import training
+from tabseg.plans import q_embed, training
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return training.queries()
+    return q_embed.Q | training.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return training.oracle_sql()
+    return q_embed.SQL | training.oracle_sql()
 
 
 def entry(spark: SparkSession) -> DataFrame:
-    return training.p1_found(spark, "/root/testdata/sf0.001")
+    """The flagship: a mixed table as cells of random partitions."""
+    return q_embed.embed_mixed(spark, "/root/testdata/sf0.001")
