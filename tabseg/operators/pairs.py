@@ -162,9 +162,9 @@ def choose_band(cells: DataFrame, id_col: str, length: int, k: int, sample: int
 def lsh_knn(cells: DataFrame, id_col: str, k: int, width: int, max_bucket: int = 150) -> DataFrame:
     """(src, dst, dist): k nearest among rows that share a band, by exact number of differing cells.
 
-    A bucket above max_bucket is split by the row's whole cell array: copies meet their own copies, and the rest of
-    the bucket is compared with its ring neighbours in the order of a second band hash, so none is dropped and no
-    bucket makes more than about size x max_bucket pairs.
+    A bucket above max_bucket is cut into parts: rows alike in all cells stay together as far as a part holds
+    them, and every row keeps up to max_bucket candidates, so a hot bucket makes about size x max_bucket pairs
+    instead of its square. Banding is approximate in any case; raise max_bucket for more recall, or use knn.
     """
     b = bands(cells, id_col, width)
     size = b.groupBy("band", "key").agg(F.count("*").alias("n"))

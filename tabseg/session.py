@@ -59,6 +59,22 @@ def hash32(key: Column, seed: object) -> Column:
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("bigint")
 
 
+def positions(df: DataFrame, by: list[str], order: str, tie: str, spans: int = 256) -> DataFrame:
+    """Adds `position`, the row's place (from 0) within `by` in the order of a 32-bit hash column, then of `tie`.
+
+    Rows are numbered inside spans of the hash, and the counts of the spans before are added: no task sees
+    a whole group.
+    """
+    from pyspark.sql.window import Window
+
+    x = df.withColumn("__span", F.floor(F.col(order) / F.lit(4294967296.0 / spans)).cast("int"))
+    n = x.groupBy(*by, "__span").agg(F.count("*").alias("__n"))
+    w = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
+    start = n.select(*by, "__span", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__start"))
+    inner = F.row_number().over(Window.partitionBy(*by, "__span").orderBy(order, tie)) - 1
+    return join_nulls(x.withColumn("__inner", inner), broadcast_if_small(start), [*by, "__span"]).withColumn("position", F.col("__inner") + F.col("__start")).drop("__span", "__inner", "__start")
+
+
 def uniform(key: Column, seed: object) -> Column:
     """A reproducible draw from (0, 1) per key."""
     return (hash32(key, seed) + F.lit(0.5)) / F.lit(4294967296.0)
