@@ -15,7 +15,7 @@ from tabseg.session import finite, materialise, read, trimmed_key
 
 def _categories(spark: SparkSession, d: str) -> DataFrame:
     """col, val, record of the columns with limits, as read by the rules of the data."""
-    t = with_port(read(spark, d, "titanic"), read(spark, d, "ports")).select(
+    t = with_port(read(spark, d, "titanic").select("passenger_id", "embarked", "city"), read(spark, d, "ports")).select(
         F.col("passenger_id").alias("record"), F.explode(F.array(_pair("titanic.embarked", F.col("port")), _pair("titanic.city", trimmed_key(F.col("city"))))).alias("x")
     )
     m = read(spark, d, "mixed_rows").select(

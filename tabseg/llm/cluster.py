@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabseg.llm.vectors import BUCKETS, Space, _sums, bucket_of, fit_space, kmeans, nearest, standardised, summarise
+from tabseg.llm.vectors import BUCKETS, CELL, Space, _sums, bucket_of, fit_space, kmeans, nearest, standardised, summarise
 from tabseg.session import materialise
 
 #: Centres that k-means places.
@@ -29,6 +29,8 @@ DENSE = 2.0
 VALLEY = 0.2
 #: Least share of a component that makes a category a segment of its own.
 SHARE = 0.08
+#: A component needs so many rows, and such a share of all rows, to count as a segment.
+LEAST_ROWS, LEAST_SHARE = 10, 0.001
 #: A row farther from its centre than so many root mean square distances is a stray.
 REACH = 3.0
 
@@ -112,7 +114,7 @@ def fit_segments(df: DataFrame, numbers: list[str], category: Column, k: int = C
     nothing = Segments(space, np.zeros((0, d)), np.zeros(0), np.zeros(0), np.zeros((0, BUCKETS + 1), int))
     if not box["n"]:
         return nothing
-    mean = box["n"] / np.prod([max(box[c], 1e-3) for c in names])
+    mean = box["n"] / np.prod([max(box[c], 4 * CELL) for c in names])
     bare = replace(space, weight=0.0)
 
     def numeric(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,6 +135,12 @@ def fit_segments(df: DataFrame, numbers: list[str], category: Column, k: int = C
     centres, mass, square = numeric(near, centres[dense])
     radius = np.sqrt(square)
     part = _components(centres, radius, near, names)
+    whole = np.bincount(part, mass)[part]
+    large = whole >= max(LEAST_ROWS, LEAST_SHARE * box["n"])
+    if not large.any():
+        return nothing
+    centres, mass, square, radius = centres[large], mass[large], square[large], radius[large]
+    part = np.unique(part[large], return_inverse=True)[1]
     # inside a component no centre reaches less far than the component's rows do on average
     usual = np.sqrt(np.bincount(part, mass * square) / np.bincount(part, mass))
     radius = np.maximum(radius, usual[part])

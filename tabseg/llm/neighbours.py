@@ -14,13 +14,14 @@ tasks; each task returns its best k per query.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from tabseg.session import broadcast_if_small, materialise
@@ -31,6 +32,8 @@ SAMPLE = 60_000
 LIST_SIZE, MOST_LISTS = 4000, 2048
 #: Vectors of one block.
 BLOCK = 16_000
+#: Tasks over which the queries of one group are spread.
+SALTS = 24
 
 
 def _rotation(d: int, seed: int) -> np.ndarray:
@@ -152,39 +155,45 @@ def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, margin: flo
 
     indexed = vectors.select(F.col("id").cast("bigint"), "grp", "x").mapInArrow(place, f"id bigint, grp {kind}, x array<double>, list int, gap double")
     indexed = materialise(indexed)
-    lists = indexed.groupBy("grp", "list").agg(F.count("*").alias("size"), F.max("gap").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    # one array per group, of at most MOST_LISTS lists: sizes and radii, 0 and -1 where a list is empty
-    per = lists.groupBy("grp").agg(F.collect_list(F.struct("list", "size", "radius")).alias("lists"))
-    asked = materialise(queries.select(F.col("id").cast("bigint"), "grp", "x").join(broadcast_if_small(per, 100), "grp"))
+    lists = materialise(indexed.groupBy("grp", "list").agg(F.count("*").alias("size"), F.max("gap").alias("radius"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
     blocks = broadcast_if_small(lists.select("grp", "list", "blocks"))
+    # a group's queries are spread over SALTS tasks, each of which gets the group's lists (at most MOST_LISTS)
+    salted = lists.select("grp", "list", "size", "radius", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    asked = materialise(queries.select(F.col("id").cast("bigint"), "grp", "x").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")))
+    group_type = pa.schema([("grp", to_arrow_type(vectors.schema["grp"].dataType))]).field("grp").type
+    kinds = {"id": pa.int64(), "grp": group_type, "x": pa.list_(pa.float64()), "list": pa.int32(), "bound": pa.float64()}
 
-    def probe(first: bool, columns: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for row in b.itertuples(index=False):
-                    x = np.asarray(row.x, float)
-                    at = np.array([z["list"] for z in row.lists])
-                    size, radius = np.array([z["size"] for z in row.lists]), np.array([z["radius"] for z in row.lists])
-                    away = np.sqrt(((centres[at] - x) ** 2).sum(1))
-                    order = np.lexsort((at, away))
-                    ahead = np.cumsum(size[order]) - size[order]
-                    begun = order[ahead < k + 1]
-                    bound = np.inf if first else row.bound
-                    if first:
-                        use = begun
-                    else:  # what the triangle inequality cannot rule out
-                        use = np.flatnonzero(np.maximum(away - radius, 0) <= np.sqrt(bound) * (1 + 1e-9) + 1e-12)
-                        use = np.setdiff1d(use, begun)
-                    out += [(row.id, row.grp, row.x, int(at[u]), bound) for u in use]
-                yield pd.DataFrame(out, columns=columns.split())
-
-        return run
-
-    def search(probes: DataFrame) -> DataFrame:
+    def probes(some: DataFrame, first: bool) -> DataFrame:
+        """The lists that each query has to scan: the nearest that hold enough vectors, or (then) those which the bound leaves."""
+
+        def one(left: pa.Table, right: pa.Table) -> pa.Table:
+            out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            if left.num_rows and right.num_rows:
+                at = right["list"].to_numpy()
+                order = np.argsort(at)
+                at, size, radius = at[order], right["size"].to_numpy()[order], right["radius"].to_numpy()[order]
+                x = _matrix(left["x"], d)
+                bound = np.full(len(x), np.inf) if first else left["bound"].to_numpy()
+                for lo in range(0, len(x), 256):
+                    away = np.sqrt(((x[lo : lo + 256, None] - centres[at][None]) ** 2).sum(2))
+                    near = np.argsort(away, axis=1, kind="stable")
+                    held = size[near]
+                    begun = np.zeros(away.shape, bool)
+                    np.put_along_axis(begun, near, np.cumsum(held, 1) - held < k + 1, 1)
+                    # what the triangle inequality cannot rule out
+                    use = begun if first else ~begun & (np.maximum(away - radius, 0) <= np.sqrt(bound[lo : lo + 256, None]) * (1 + 1e-9) + 1e-12)
+                    q, j = np.nonzero(use)
+                    out.append((lo + q, at[j], bound[lo + q]))
+            q, j, bound = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))
+            got = left.select(["id", "grp", "x"]).take(pa.array(q, pa.int64()))
+            return pa.table([got["id"].cast(kinds["id"]), got["grp"].cast(kinds["grp"]), got["x"].cast(kinds["x"]), pa.array(j, pa.int32()), pa.array(bound, pa.float64())], names=list(kinds))
+
+        return some.groupBy("grp", "salt").cogroup(salted.groupBy("grp", "salt")).applyInArrow(one, f"id bigint, grp {kind}, x array<double>, list int, bound double")
+
+    def search(asks: DataFrame) -> DataFrame:
         """Best k of each query in each block of the lists it probes."""
         by = ["grp", "list", "block"]
-        spread = probes.join(blocks, ["grp", "list"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        spread = asks.join(blocks, ["grp", "list"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         split = indexed.join(blocks, ["grp", "list"]).select("id", "grp", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "x")
 
         def one(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -197,13 +206,11 @@ def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, margin: flo
 
         return spread.groupBy(*by).cogroup(split.groupBy(*by)).applyInArrow(one, "qid bigint, id bigint, d2 double")
 
-    ask = f"id bigint, grp {kind}, x array<double>, list int, bound double"
-    names = "id grp x list bound"
-    begun = materialise(search(asked.mapInPandas(probe(True, names), ask)))
+    begun = materialise(search(probes(asked, True)))
     kth = Window.partitionBy("qid").orderBy("d2", "id")
     bound = begun.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") == k).select(F.col("qid").alias("id"), F.col("d2").alias("bound"))
     again = asked.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    found = begun.unionByName(search(again.mapInPandas(probe(False, names), ask)))
+    found = begun.unionByName(search(probes(again, False)))
     found = found.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") <= k)
     return found.select("qid", "id", F.sqrt("d2").alias("dist"), "rank")
 
