@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabseg.session import broadcast_if_small
+from tabseg.session import broadcast_if_small, positions
 
 MAX_PAIRS = 20_000_000
 #: Band widths that are tried.
@@ -162,22 +162,17 @@ def choose_band(cells: DataFrame, id_col: str, length: int, k: int, sample: int
 def lsh_knn(cells: DataFrame, id_col: str, k: int, width: int, max_bucket: int = 150) -> DataFrame:
     """(src, dst, dist): k nearest among rows that share a band, by exact number of differing cells.
 
-    A bucket above max_bucket is cut into parts: rows alike in all cells stay together as far as a part holds
-    them, and every row keeps up to max_bucket candidates, so a hot bucket makes about size x max_bucket pairs
-    instead of its square. Banding is approximate in any case; raise max_bucket for more recall, or use knn.
+    A bucket above max_bucket is cut into even parts, rows alike in all cells next to each other: every row keeps
+    about max_bucket candidates, and a hot bucket makes about size x max_bucket pairs instead of its square. Banding is approximate in any case; raise max_bucket for more recall, or use knn.
     """
     b = bands(cells, id_col, width)
     size = b.groupBy("band", "key").agg(F.count("*").alias("n"))
     sized = b.join(size, ["band", "key"])
     small = sized.where(F.col("n") <= max_bucket).select("band", "key", "id", "cells")
-    # large buckets: runs of rows that are alike in their whole arrays, cut into blocks
-    big = sized.where(F.col("n") > max_bucket)
-    piece = F.pmod(F.xxhash64("cells"), F.ceil(F.col("n") / max_bucket)).cast("string")
-    fine = F.concat_ws("|", "key", piece)
-    cut = big.select("band", fine.alias("key"), "id", "cells")
-    again = cut.groupBy("band", "key").agg(F.count("*").alias("m"))
-    blocks = cut.join(again, ["band", "key"]).withColumn("parts", F.ceil(F.col("m") / max_bucket))
-    blocks = blocks.withColumn("key", F.concat_ws("#", "key", F.pmod(F.xxhash64("id"), F.col("parts")).cast("string"))).select("band", "key", "id", "cells")
+    # large buckets: even runs in the order of a hash of the whole array, so rows alike in all cells meet
+    big = sized.where(F.col("n") > max_bucket).withColumn("h", F.pmod(F.xxhash64("cells"), F.lit(1 << 32)))
+    run = F.floor(F.col("position") * F.ceil(F.col("n") / max_bucket) / F.col("n")).cast("string")
+    blocks = positions(big, ["band", "key"], "h", "id").select("band", F.concat_ws("#", "key", run).alias("key"), "id", "cells")
     all_ = small.unionByName(blocks)
     left = all_.select("band", "key", F.col("id").alias("src"), F.col("cells").alias("a"))
     right = all_.select("band", "key", F.col("id").alias("dst"), F.col("cells").alias("b"))

@@ -28,57 +28,76 @@ def _moments(df: DataFrame, cols: list[str], by: list[Column]) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(square).alias("q"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(cols)])
 
 
-def candidate_thresholds(df: DataFrame, cols: list[str]) -> dict[str, list[float]]:
-    """Midpoints of neighbouring distinct values, or of quantiles where there are many."""
-    distinct = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"n{i}") for i, c in enumerate(cols)]).first()
-    small = [c for i, c in enumerate(cols) if distinct[f"n{i}"] <= 2 * THRESHOLDS]
-    large = [c for c in cols if c not in small]
-    aggs = [F.sort_array(F.collect_set(c)).alias(f"s{cols.index(c)}") for c in small] + [F.percentile_approx(c, [(i + 0.5) / THRESHOLDS for i in range(THRESHOLDS)], 10_000).alias(f"q{cols.index(c)}") for c in large]
-    r = df.agg(*aggs).first() if aggs else None
-    out: dict[str, list[float]] = {}
-    for i, c in enumerate(cols):
-        v = np.unique(np.array(r[f"s{i}"] if c in small else r[f"q{i}"] or [], float))
-        mid = (v[1:] + v[:-1]) / 2
-        if len(mid) > THRESHOLDS:
-            mid = np.quantile(mid, (np.arange(THRESHOLDS) + 0.5) / THRESHOLDS)
-        out[c] = [float(x) for x in mid]
+def few_valued(df: DataFrame, cols: list[str]) -> set[str]:
+    """Columns with so few distinct values that all their midpoints are tried, here and in every part of the rows."""
+    r = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    return {c for i, c in enumerate(cols) if r[f"n{i}"] <= 2 * THRESHOLDS}
+
+
+def candidate_thresholds(df: DataFrame, cols: list[str], leaf: str, few: set[str]) -> dict[int, dict[str, list[float]]]:
+    """Per leaf and column: midpoints of neighbouring distinct values, or of quantiles where there are many."""
+    quantiles = [(i + 0.5) / (THRESHOLDS + 1) for i in range(THRESHOLDS + 1)]
+    aggs = [(F.sort_array(F.collect_set(c)) if c in few else F.percentile_approx(c, quantiles, 10_000)).alias(f"v{i}") for i, c in enumerate(cols)]
+    out: dict[int, dict[str, list[float]]] = {}
+    for r in df.groupBy(leaf).agg(*aggs).collect():  # one row per open leaf
+        out[r[leaf]] = {}
+        for i, c in enumerate(cols):
+            v = np.unique(np.array(r[f"v{i}"] or [], float))
+            mid = (v[1:] + v[:-1]) / 2
+            out[r[leaf]][c] = [float(x) for x in mid[np.linspace(0, len(mid) - 1, THRESHOLDS).round().astype(int)]] if len(mid) > THRESHOLDS else [float(x) for x in mid]
     return out
 
 
-def best_split(df: DataFrame, cols: list[str], min_leaf: int = 1) -> tuple[float, str, float, tuple[int, float], tuple[int, float]] | None:
-    """(gain, feature, threshold, (n, sse) left, (n, sse) right). Equal gains: the earlier feature, the smaller threshold.
+Split = tuple[float, str, float, tuple[int, float], tuple[int, float]]
+
+
+def best_splits(df: DataFrame, cols: list[str], leaf: str, few: set[str], min_leaf: int = 1) -> dict[int, Split]:
+    """Per leaf: (gain, feature, threshold, (n, sse) left, (n, sse) right). Equal gains: the earlier feature, the smaller threshold.
 
     Each row falls into one bin per feature; bins are summed in the cluster, and the driver accumulates at
-    most columns x THRESHOLDS of them.
+    most columns x THRESHOLDS of them per open leaf.
     """
-    cuts = candidate_thresholds(df, cols)
-    usable = [c for c in cols if cuts[c]]
-    if not usable:
-        return None
-    # x <= t goes left, so the bin is the number of thresholds below x
-    def bin_of(c: str) -> Column:
-        return F.size(F.filter(F.array(*[F.lit(t) for t in cuts[c]]), lambda t: t < F.col(c)))
-
-    bins = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), bin_of(c).alias("b")) for i, c in enumerate(usable)]))
-    rows = _moments(df.select(*cols, bins.alias("x")), cols, [F.col("x.f").alias("f"), F.col("x.b").alias("b")]).toPandas()
-    best = None
-    for i, c in enumerate(usable):
-        part = rows[rows["f"] == i].sort_values("b")
-        values = part[["n", "q", *[f"s{j}" for j in range(len(cols))]]].to_numpy(float)
-        table = np.zeros((len(cuts[c]) + 1, values.shape[1]))
-        table[part["b"].to_numpy(int)] = values
-        left, total = np.cumsum(table, 0)[:-1], table.sum(0)
-        right = total - left
-
-        def sse(m: np.ndarray) -> np.ndarray:
-            return m[..., 1] - (m[..., 2:] ** 2).sum(-1) / np.maximum(m[..., 0], 1)
-
-        gain = sse(total) - sse(left) - sse(right)
-        gain[(left[:, 0] < min_leaf) | (right[:, 0] < min_leaf)] = -np.inf
-        j = int(np.argmax(gain))
-        if gain[j] > 1e-12 and (best is None or gain[j] > best[0] + 1e-12):
-            best = (float(gain[j]), c, cuts[c][j], (int(left[j, 0]), float(sse(left)[j])), (int(right[j, 0]), float(sse(right)[j])))
-    return best
+    cuts = candidate_thresholds(df, cols, leaf, few)
+
+    def bin_of(edges: Column, c: str) -> Column:
+        # x <= t goes left, so the bin is the number of thresholds below x
+        return F.size(F.filter(edges, lambda t: t < F.col(c)))
+
+    def edges_of(c: str) -> Column:
+        e = F.lit(None).cast("array<double>")
+        for k, per in cuts.items():
+            e = F.when(F.col(leaf) == k, F.array(*[F.lit(t) for t in per[c]]).cast("array<double>")).otherwise(e)
+        return e
+
+    bins = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), bin_of(edges_of(c), c).alias("b")) for i, c in enumerate(cols)]))
+    rows = _moments(df.select(leaf, *cols, bins.alias("x")), cols, [F.col(leaf).alias("leaf"), F.col("x.f").alias("f"), F.col("x.b").alias("b")]).toPandas()
+    out: dict[int, Split] = {}
+
+    def sse(m: np.ndarray) -> np.ndarray:
+        return m[..., 1] - (m[..., 2:] ** 2).sum(-1) / np.maximum(m[..., 0], 1)
+
+    for k, per in cuts.items():
+        best = None
+        for i, c in enumerate(cols):
+            if not per[c]:
+                continue
+            part = rows[(rows["f"] == i) & (rows["leaf"] == k)]
+            table = np.zeros((len(per[c]) + 1, len(cols) + 2))
+            table[part["b"].to_numpy(int)] = part[["n", "q", *[f"s{j}" for j in range(len(cols))]]].to_numpy(float)
+            left, total = np.cumsum(table, 0)[:-1], table.sum(0)
+            right = total - left
+            gain = sse(total) - sse(left) - sse(right)
+            gain[(left[:, 0] < min_leaf) | (right[:, 0] < min_leaf)] = -np.inf
+            j = int(np.argmax(gain))
+            if gain[j] > 1e-12 and (best is None or gain[j] > best[0] + 1e-9):
+                best = (float(gain[j]), c, per[c][j], (int(left[j, 0]), float(sse(left)[j])), (int(right[j, 0]), float(sse(right)[j])))
+        if best:
+            out[k] = best
+    return out
+
+
+def best_split(df: DataFrame, cols: list[str], min_leaf: int = 1) -> Split | None:
+    return best_splits(df.withColumn("__leaf", F.lit(0)), cols, "__leaf", few_valued(df, cols), min_leaf).get(0)
 
 
 @dataclass
@@ -117,7 +136,9 @@ def fit_tree(df: DataFrame, cols: list[str], k: int, min_leaf: int = 1) -> RuleT
     m = _moments(df, cols, []).first()
     n = m["n"]
     root = Node(n, (m["q"] or 0.0) - sum((m[f"s{i}"] or 0.0) ** 2 for i in range(len(cols))) / max(n, 1))
-    open_ = [(root, F.lit(True), best_split(df, cols, min_leaf) if n else None)]
+    few = few_valued(df, cols) if n else set()
+    first = best_splits(df.withColumn("__leaf", F.lit(0)), cols, "__leaf", few, min_leaf).get(0) if n else None
+    open_: list[tuple[Node, Column, Split | None]] = [(root, F.lit(True), first)]
     leaves = 1
     while leaves < k:
         usable = [(s[0], -i) for i, (_, _, s) in enumerate(open_) if s]
@@ -126,10 +147,11 @@ def fit_tree(df: DataFrame, cols: list[str], k: int, min_leaf: int = 1) -> RuleT
         node, where, split = open_.pop(-max(usable)[1])
         _, node.feature, node.threshold, left, right = split
         node.left, node.right = Node(*left), Node(*right)
-        test = F.col(node.feature) <= F.lit(node.threshold)
-        for child, side in ((node.left, where & test), (node.right, where & ~test)):
-            open_.append((child, side, best_split(df.where(side), cols, min_leaf) if child.n >= 2 * min_leaf else None))
         leaves += 1
+        test = F.col(node.feature) <= F.lit(node.threshold)
+        # both children in one pass; none is needed once the tree is full
+        found = best_splits(df.where(where).withColumn("__leaf", F.when(test, 0).otherwise(1)), cols, "__leaf", few, min_leaf) if leaves < k else {}
+        open_ += [(node.left, where & test, found.get(0)), (node.right, where & ~test, found.get(1))]
     count = 0
 
     def number(node: Node) -> None:

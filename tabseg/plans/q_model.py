@@ -95,7 +95,7 @@ _TREE = """WITH z AS (SELECT c_custkey AS id, (c_nationkey - avg(c_nationkey) OV
 lv AS (SELECT seg, row_number() OVER (ORDER BY seg) AS i FROM (SELECT DISTINCT seg FROM z)),
 tot AS (SELECT count(*)::DOUBLE AS n, sum(x0) AS s, sum(x0 * x0) AS q FROM z),
 segs AS (SELECT seg, count(*)::DOUBLE AS n FROM z GROUP BY 1),
-base AS (SELECT q - s * s / n + (SELECT sum(segs.n) - sum(segs.n * segs.n) / max(tot.n) FROM segs) AS sse FROM tot),
+sq AS (SELECT sum(n * n) AS s2 FROM segs), base AS (SELECT tot.q - tot.s * tot.s / tot.n + tot.n - sq.s2 / tot.n AS sse FROM tot CROSS JOIN sq),
 th AS (SELECT 0 AS f, (a + b) / 2 AS t, NULL AS seg FROM (SELECT x0 AS a, lead(x0) OVER (ORDER BY x0) AS b FROM (SELECT DISTINCT x0 FROM z)) WHERE b IS NOT NULL UNION ALL SELECT lv.i, 0.5, seg FROM lv),
 side AS (SELECT th.f, th.t, CASE WHEN th.f = 0 THEN z.x0 <= th.t ELSE z.seg <> th.seg END AS lft, z.x0, z.seg AS s FROM z CROSS JOIN th),
 m AS (SELECT f, t, lft, count(*)::DOUBLE AS n, sum(x0 * x0) - sum(x0) * sum(x0) / count(*) AS e FROM side GROUP BY 1, 2, 3),

@@ -20,7 +20,7 @@ def p1_filled(spark: SparkSession, d: str) -> DataFrame:
     """The whole table, completed, with masks."""
     t, ports = read(spark, d, "titanic"), read(spark, d, "ports")
     fills = fill_titanic(t, ports)
-    out = with_port(t, ports).select("row_id", "age", "port")
+    out = with_port(t.select("row_id", "age", "embarked"), ports).select("row_id", "age", "port")
     out = apply_fills(out, "row_id", "age", stated_age(F.col("age")), fills, "double")
     return apply_fills(out, "row_id", "embarked", F.col("port"), fills, "string").select("row_id", F.round("age", 1).alias("age"), "age_filled", "embarked", "embarked_filled")
 
