@@ -1,12 +1,12 @@
 """The k nearest vectors of every query vector (problem 5), by an adaptive dimension scan over inverted lists.
 
 The vectors are turned by a random rotation and put into the lists of their nearest centres (k-means on a
-bounded sample; every vector is indexed). A query first scans its nearest list, which bounds the distance of
-its k-th neighbour, and then every further list which the bound cannot rule out, so the result does not depend
-on how many lists are probed. Within a list the distances grow by column blocks; after each block a hypothesis
-test on the partial distance abandons candidates that are unlikely to be among the nearest. The test's
-margin is a parameter: at `margin=None` only candidates whose partial distance alone exceeds the bound are
-abandoned, and the result is exact.
+bounded sample; every vector is indexed). Within a list distances grow by column blocks; after each block a
+hypothesis test on the partial distance abandons candidates that are unlikely to be among the nearest. A
+query first scans its nearest list like that, which bounds the distance of its k-th neighbour. The check that
+follows scans every list which that bound cannot rule out and abandons only candidates whose partial
+distance alone exceeds it: the result is exact, however many lists were probed first. Without the check
+(`exact=False`) the test decides there too, at an error that its margin controls.
 
 Lists are cut into blocks of bounded size, so a list that holds a third of all vectors is scanned by many
 tasks; each task returns its best k per query.
@@ -130,7 +130,7 @@ def _matrix(column: pa.ChunkedArray | pa.Array, d: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d)
 
 
-def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, margin: float | None = None, width: int = 1, seed: int = 5) -> DataFrame:
+def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, margin: float = 2.0, width: int = 1, exact: bool = True, seed: int = 5) -> DataFrame:
     """Columns qid, id, dist (Euclidean), rank: the k nearest vectors of each query within its group.
 
     vectors: id, grp, x (array<double> of one length, finite), ids unique; queries: likewise, with their own
@@ -181,7 +181,7 @@ def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, margin: flo
                     begun = np.zeros(away.shape, bool)
                     np.put_along_axis(begun, near, np.cumsum(held, 1) - held < k + 1, 1)
                     # what the triangle inequality cannot rule out
-                    use = begun if first else ~begun & (np.maximum(away - radius, 0) <= np.sqrt(bound[lo : lo + 256, None]) * (1 + 1e-9) + 1e-12)
+                    use = begun if first else (np.maximum(away - radius, 0) <= np.sqrt(bound[lo : lo + 256, None]) * (1 + 1e-9) + 1e-12)
                     q, j = np.nonzero(use)
                     out.append((lo + q, at[j], bound[lo + q]))
             q, j, bound = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0))
@@ -190,7 +190,7 @@ def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, margin: flo
 
         return some.groupBy("grp", "salt").cogroup(salted.groupBy("grp", "salt")).applyInArrow(one, f"id bigint, grp {kind}, x array<double>, list int, bound double")
 
-    def search(asks: DataFrame) -> DataFrame:
+    def search(asks: DataFrame, test: float | None) -> DataFrame:
         """Best k of each query in each block of the lists it probes."""
         by = ["grp", "list", "block"]
         spread = asks.join(blocks, ["grp", "list"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
@@ -199,18 +199,18 @@ def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, margin: flo
         def one(left: pa.Table, right: pa.Table) -> pa.Table:
             if left.num_rows and right.num_rows:
                 own = left["id"].to_numpy()
-                a, b, dist = scan(_matrix(left["x"], d), left["bound"].to_numpy(), own, _matrix(right["x"], d), right["id"].to_numpy(), turn, k, width, margin)
+                a, b, dist = scan(_matrix(left["x"], d), left["bound"].to_numpy(), own, _matrix(right["x"], d), right["id"].to_numpy(), turn, k, width, test)
             else:
                 own, a, b, dist = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
             return pa.table({"qid": pa.array(own[a], pa.int64()), "id": pa.array(b, pa.int64()), "d2": pa.array(dist, pa.float64())})
 
         return spread.groupBy(*by).cogroup(split.groupBy(*by)).applyInArrow(one, "qid bigint, id bigint, d2 double")
 
-    begun = materialise(search(probes(asked, True)))
+    begun = materialise(search(probes(asked, True), margin))
     kth = Window.partitionBy("qid").orderBy("d2", "id")
     bound = begun.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") == k).select(F.col("qid").alias("id"), F.col("d2").alias("bound"))
     again = asked.join(bound, "id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
-    found = begun.unionByName(search(probes(again, False)))
+    found = search(probes(again, False), None if exact else margin)
     found = found.withColumn("rank", F.row_number().over(kth)).where(F.col("rank") <= k)
     return found.select("qid", "id", F.sqrt("d2").alias("dist"), "rank")
 
