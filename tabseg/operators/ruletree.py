@@ -70,7 +70,7 @@ def best_splits(df: DataFrame, cols: list[str], leaf: str, few: set[str], min_le
         return e
 
     bins = F.explode(F.array(*[F.struct(F.lit(i).alias("f"), bin_of(edges_of(c), c).alias("b")) for i, c in enumerate(cols)]))
-    rows = _moments(df.select(leaf, *cols, bins.alias("x")), cols, [F.col(leaf).alias("leaf"), F.col("x.f").alias("f"), F.col("x.b").alias("b")]).toPandas()
+    rows = _moments(df.select(leaf, *cols, bins.alias("__x")), cols, [F.col(leaf).alias("leaf"), F.col("__x.f").alias("f"), F.col("__x.b").alias("b")]).toPandas()
     out: dict[int, Split] = {}
 
     def sse(m: np.ndarray) -> np.ndarray:

@@ -218,7 +218,7 @@ def test_preflight(spark):
 
 
 def test_significance(spark):
-    df = spark.createDataFrame([(i, i % 3, i % 3 if i % 10 else 0, (i * 7919) % 3) for i in range(120)], "id bigint, a int, b int, c int")
+    df = spark.createDataFrame([(i, i % 3, i % 3 if i % 10 else 0, (i // 3) % 3) for i in range(120)], "id bigint, a int, b int, c int")
     p = infer.permutation_test(df, "id", "a", "b", 50)
     assert p["ari"] > 0.7 and abs(p["p_value"] - 1 / 51) < 1e-12 and abs(p["null_mean"]) < 0.05
     b = infer.bootstrap_ari(df, "id", "a", "b", 40)
