@@ -36,6 +36,13 @@ def medoids(members: DataFrame) -> DataFrame:
     return score.groupBy("proto").agg(F.min_by("id", F.struct(-F.col("alike"), F.col("id"))).alias("id"))
 
 
+def nearest_to_mean(members: DataFrame, cols: list[str]) -> DataFrame:
+    """(proto, id): the member nearest to its bucket's mean in numeric columns (ties: smallest id). members: proto, id, cols."""
+    mean = members.groupBy("proto").agg(*[F.avg(c).alias(f"__m{i}") for i, c in enumerate(cols)])
+    gap = sum((F.coalesce((F.col(c) - F.col(f"__m{i}")) ** 2, F.lit(0.0)) for i, c in enumerate(cols)), F.lit(0.0))
+    return members.join(broadcast_if_small(mean), "proto").groupBy("proto").agg(F.min_by("id", F.struct(gap.alias("gap"), F.col("id"))).alias("id"))
+
+
 def compress(cells: DataFrame, id_col: str, depth: int, preserve_rare: int = 0, representative: str = "medoid") -> tuple[DataFrame, DataFrame]:
     """(prototypes: proto, id, cells, weight, rare; assignment: id, proto).
 

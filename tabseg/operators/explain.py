@@ -87,6 +87,7 @@ class LabelClassifier:
     depth: int = 10
     seed: int = 42
     reject_below: float = 0.0
+    calibrate: bool = False  # logistic calibration of the forest's probabilities, on rows the forest has not seen
 
     def _forest(self):
         from pyspark.ml.classification import RandomForestClassifier
@@ -96,6 +97,13 @@ class LabelClassifier:
     def fit(self, df: DataFrame, label: str) -> LabelClassifier:
         self.prep = Preprocessor(self.numeric, self.categorical).fit(df)
         x = balanced(_vectors(df, self.prep, [F.col(label).cast("double").alias("label")]).where(F.col("label") >= 0))
+        if self.calibrate:
+            from pyspark.ml.classification import LogisticRegression
+            from pyspark.ml.functions import vector_to_array
+
+            held = F.pmod(F.xxhash64(vector_to_array("features"), F.lit(self.seed)), F.lit(3)) == 0
+            scored = self._forest().fit(x.where(~held)).transform(x.where(held)).select("label", F.col("probability").alias("features"))
+            self.calibrator = LogisticRegression(featuresCol="features", labelCol="label", regParam=1e-3, probabilityCol="calibrated", rawPredictionCol="calibrated_raw", predictionCol="calibrated_label").fit(scored)
         self.model = self._forest().fit(x)
         return self
 
@@ -103,7 +111,10 @@ class LabelClassifier:
         """(id, label, confidence)."""
         from pyspark.ml.functions import vector_to_array
 
-        p = self.model.transform(_vectors(df, self.prep, [F.col(id_col).alias("id")])).withColumn("confidence", F.array_max(vector_to_array("probability")))
+        p = self.model.transform(_vectors(df, self.prep, [F.col(id_col).alias("id")]))
+        if self.calibrate:
+            p = self.calibrator.transform(p.select("id", F.col("probability").alias("features"))).select("id", F.col("calibrated").alias("probability"), F.col("calibrated_label").alias("prediction"))
+        p = p.withColumn("confidence", F.array_max(vector_to_array("probability")))
         return p.select("id", F.when(F.col("confidence") >= self.reject_below, F.col("prediction").cast("int")).otherwise(-1).alias("label"), "confidence")
 
     def cross_validate(self, df: DataFrame, id_col: str, label: str, folds: int = 3) -> DataFrame:

@@ -263,5 +263,13 @@ class ForestSegmenter:
         first = size.orderBy(F.desc("size"), "label").first()
         return df.select(F.col(id_col).alias("id")).join(sims, "id", "left").select("id", F.coalesce("label", F.lit(first["label"] if first else 0)).alias("label"))
 
+    def distances(self, max_pairs: int = pairs.MAX_PAIRS) -> DataFrame:
+        """(i, j, dist) of all pairs of fitted rows, weighted unless the weights are all alike; a guarded all-pairs table."""
+        alike = np.allclose(self.weights, 1.0) or self.weights.sum() <= 0
+        return pairs.hamming_pairs(self.cells_, self.id_col, None if alike else list(map(float, self.weights)), max_pairs)
+
+    def similarities(self, max_pairs: int = pairs.MAX_PAIRS) -> DataFrame:
+        return self.distances(max_pairs).select("i", "j", (1 - F.col("dist")).alias("similarity"))
+
     def to_json(self) -> str:
         return json.dumps({"kinds": self.kinds, "spec": self.spec.to_json(), "weights": list(map(float, self.weights)), "clusterer": self.clusterer, "n_clusters": self.n_clusters})
