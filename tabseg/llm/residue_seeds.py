@@ -52,7 +52,7 @@ NOTICES = (
     "To continue, allow scripts and cookies for this site.", "Turn them on and reload.", "Diese Seite benötigt Skripte.", "Diese Ansicht benötigt aktive Skripte.", "Diese Ansicht läuft nicht ohne JavaScript.", "Bitte aktivieren Sie JavaScript.",
     "In Ihrem Browser ist JavaScript ausgeschaltet.", "La visionneuse nécessite JavaScript.", "La visionneuse nécessite les scripts.", "La visionneuse ne marche pas sans les scripts.", "Cette page a besoin de scripts pour fonctionner.",
     "Veuillez activer JavaScript pour afficher ce carnet.", "Active JavaScript para ver este cuaderno.", "Esta página necesita JavaScript.", "El visor no funciona sin JavaScript.", "El visor necesita scripts.", "JavaScript está desactivado en su navegador.",
-    "Bad gateway", "Access denied", "Internal server error", "Service temporarily unavailable", "Page not found", "The connection timed out.", "The upstream server sent no response.", "Something went wrong on our side.",
+    "You do not have permission to view this file.", "You are not allowed to see this page.", "Sie haben keine Berechtigung, diese Datei anzusehen.", "Vous n’avez pas le droit de voir ce fichier.", "No tiene permiso para ver este archivo.", "Bad gateway", "Access denied", "Internal server error", "Service temporarily unavailable", "Page not found", "The connection timed out.", "The upstream server sent no response.", "Something went wrong on our side.",
     "Too many requests. Slow down and try again later.", "Your session has expired. Sign in again.", "We could not verify that you are not a robot.", "Zugriff verweigert", "Ein interner Fehler ist aufgetreten.", "Seite nicht gefunden",
     "Accès refusé", "Page introuvable", "Une erreur interne est survenue.", "Acceso denegado", "Página no encontrada", "Se produjo un error interno.", "Contact support if this keeps happening.", "Try again in a few minutes.", "Reload",
     "Go back to the start page", "Request id 0a0b0c", "Bitte später erneut versuchen.", "Zur Startseite", "Vorgang 0a0b", "Réessayez plus tard.", "Retour à l’accueil", "Référence 0a0b", "Inténtelo más tarde.", "Volver al inicio", "Referencia 0a0b",
