@@ -31,6 +31,7 @@ STOCK = (
     "Texte de remplissage, à remplacer.", "Texto de relleno, se cambiará después.", "Text.Text.Text.", "Dummy.Dummy.Dummy.", "Text. Text. Text.", "Dummy. Dummy.", "xxxxxxxxxx", "xx", ".........", "Placeholder text, to be replaced later.", "Blindtext, wird noch ersetzt.",
 )
 ITEMS = ("item", "Item", "point", "Punkt", "bullet text", "punto", "élément")
+ROWS = ("asdfghjkl", "qwertyuiop", "zxcvbnm")
 #: Error pages and notices that scripts are needed. Subjects and what is said of them.
 SUBJECTS = {
     "en": "This notebook|The file|The page|The preview|The repository|The resource|Our server|That address|This viewer|This repository|The notebook you asked for".split("|"),
@@ -72,6 +73,11 @@ def placeholders() -> list[str]:
     return out
 
 
+def bare_fields() -> list[str]:
+    """Headings that name a field and nothing else."""
+    return [form.format(x) for fields in FIELDS.values() for x in fields for form in ("{}", "# {}", "## {}", "### {}")]
+
+
 def filler(seed: int = 9) -> list[str]:
     rng = random.Random(seed)
     out = [" ".join(rng.choice(LATIN) for _ in range(24)).capitalize() + "." for _ in range(400)]
@@ -84,7 +90,7 @@ def filler(seed: int = 9) -> list[str]:
 def mash(seed: int = 9) -> list[str]:
     """Keys of one row of the keyboard, hit at random."""
     rng = random.Random(seed)
-    return [" ".join("".join(rng.choice(row) for _ in range(rng.randint(3, 8))) for _ in range(12)) for row in ("asdfghjkl",) * 8 + ("qwertyuiop", "zxcvbnm") for _ in range(60)]
+    return [" ".join("".join(rng.choice(row) for _ in range(rng.randint(3, 8))) for _ in range(12)) for row in (*ROWS[:1] * 8, *ROWS[1:]) for _ in range(60)]
 
 
 def errors() -> list[str]:
