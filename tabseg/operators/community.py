@@ -11,8 +11,6 @@ from tabseg.session import broadcast_if_small, hash32, materialise
 
 #: Edges up to which communities are found on the driver; larger graphs are condensed in the cluster first.
 LOCAL_EDGES = 200_000
-#: Rows above which neighbours are found by banding instead of comparison with all rows.
-BANDING_ROWS = 20_000
 
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -165,16 +163,18 @@ def parse_graph(text: str) -> dict:
     return out
 
 
-def graph_clusters(cells: DataFrame, id_col: str, k: int = 15, resolution: float = 1.0, algorithm: str = "louvain", noise: str = "mark", weight: str = "linear", mutual: bool = False, banding: bool | None = None, seed: int = 42) -> DataFrame:
-    """(id, label): neighbours by Hamming distance, similarities, communities, noise. Copies (distance 0) stay connected."""
+def graph_clusters(cells: DataFrame, id_col: str, k: int = 15, resolution: float = 1.0, algorithm: str = "louvain", noise: str = "mark", weight: str = "linear", mutual: bool = False, banding: bool = False, seed: int = 42) -> DataFrame:
+    """(id, label): neighbours by Hamming distance, similarities, communities, noise. Copies (distance 0) stay connected.
+
+    Neighbours are exact at every size; banding=True asks for those that share a band instead.
+    """
     n = cells.count()
     first = cells.select(F.size("cells")).first()
     if not n:
         return cells.select(F.col(id_col).alias("id"), F.lit(0).alias("label"))
-    use = n > BANDING_ROWS if banding is None else banding
-    near = pairs.lsh_knn(cells, id_col, k, pairs.choose_band(cells, id_col, first[0], k)) if use else pairs.knn(cells, id_col, k)
+    near = pairs.lsh_knn(cells, id_col, k, pairs.choose_band(cells, id_col, first[0], k)) if banding else pairs.knn(cells, id_col, k)
     near = materialise(near)
-    if use and n <= BANDING_ROWS and near.count() < n:
+    if banding and near.count() < n:
         near = materialise(pairs.knn(cells, id_col, k))
     both = materialise(pairs.mutual(near) if mutual else pairs.symmetrise(near))
     nodes = cells.select(F.col(id_col).alias("id"))

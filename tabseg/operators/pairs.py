@@ -1,6 +1,6 @@
 """Distances between rows in cells, and neighbour graphs. Nothing here makes all pairs of a large table by accident.
 
-All-pairs operators take `max_pairs` and refuse beyond it. The mean similarity of rows to clusters needs no pairs
+All-pairs operators take `max_pairs` and refuse beyond it, but knn and lsh_knn, which go on block by block. The mean similarity of rows to clusters needs no pairs
 at all: it follows from how often each cell occurs in each cluster.
 """
 
@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabseg.session import broadcast_if_small, positions
+from tabseg.session import broadcast_if_small
 
 MAX_PAIRS = 20_000_000
+#: Rows of a block when many rows are compared block by block.
+BLOCK_ROWS = 2048
 #: Band widths that are tried.
 BANDS = (2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 32)
 
@@ -93,12 +95,15 @@ def mean_similarity(cells: DataFrame, labels: DataFrame, id_col: str, weights: l
 
 
 def knn(cells: DataFrame, id_col: str, k: int, max_pairs: int = 400_000_000) -> DataFrame:
-    """(src, dst, dist): exact k nearest rows by number of differing cells; equal distances by smaller id. For bounded tables.
+    """(src, dst, dist): exact k nearest rows by number of differing cells; equal distances by smaller id.
 
-    The codes of all rows are sent to the tasks as one array (the guard bounds it), and blocks of rows are compared with it.
+    Up to max_pairs the codes of all rows are sent to the tasks as one array, and blocks of rows are compared with it;
+    beyond, every block is compared with every block. Both give the same rows, in time that grows with the square.
     """
     n = cells.count()
-    _guard(n, n, max_pairs)
+    if n * n > max_pairs:
+        whole = cells.select(F.lit(0).alias("band"), F.lit("").alias("key"), F.lit(n).alias("n"), F.col(id_col).alias("id"), "cells")
+        return top_k(_all_blocks(whole, k, BLOCK_ROWS), k)
     local = cells.select(F.col(id_col).alias("id"), "cells").toPandas()
     ids = local["id"].to_numpy(np.int64)
     order = np.argsort(ids, kind="stable")
@@ -124,6 +129,38 @@ def knn(cells: DataFrame, id_col: str, k: int, max_pairs: int = 400_000_000) ->
     return cells.select(F.col(id_col).alias("id"), "cells").mapInPandas(run, "src bigint, dst bigint, dist int")
 
 
+def _all_blocks(rows: DataFrame, k: int, block: int) -> DataFrame:
+    """(src, dst, dist) with the k nearest of each row in each block of its bucket. rows: band, key, n (rows of the bucket), id, cells.
+
+    A bucket is dealt into blocks by a hash of the id, and each pair of blocks is one group: no task holds more than two blocks.
+    """
+    parts = F.ceil(F.col("n") / block)
+    own, every = F.pmod(F.xxhash64("id"), parts), F.sequence(F.lit(0).cast("bigint"), parts - 1)
+    left = rows.select("band", "key", own.alias("s"), F.explode(every).alias("t"), F.col("id").cast("bigint").alias("id"), "cells", F.lit(True).alias("left"))
+    right = rows.select("band", "key", F.explode(every).alias("s"), own.alias("t"), F.col("id").cast("bigint").alias("id"), "cells", F.lit(False).alias("left"))
+
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        a, b = both[both["left"]], both[~both["left"]]
+        out = [pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "dist": np.zeros(0, np.int32)})]
+        if len(a) and len(b):
+            b = b.sort_values("id")
+            ids, codes = b["id"].to_numpy(np.int64), np.array(b["cells"].tolist(), np.int64)
+            for lo in range(0, len(a), 256):
+                src = a["id"].to_numpy(np.int64)[lo : lo + 256]
+                x = np.array(a["cells"].iloc[lo : lo + 256].tolist(), np.int64)
+                dist = np.zeros((len(x), len(ids)), np.int32)
+                for c in range(x.shape[1]):
+                    dist += x[:, c, None] != codes[None, :, c]
+                dist[src[:, None] == ids[None, :]] = np.iinfo(np.int32).max
+                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(dist, best, 1).ravel()
+                other = near < np.iinfo(np.int32).max
+                out.append(pd.DataFrame({"src": np.repeat(src, best.shape[1])[other], "dst": ids[best].ravel()[other], "dist": near[other]}))
+        return pd.concat(out)
+
+    return left.unionByName(right).groupBy("band", "key", "s", "t").applyInPandas(run, "src bigint, dst bigint, dist int")
+
+
 def bands(cells: DataFrame, id_col: str, width: int) -> DataFrame:
     """(id, band, key): consecutive runs of `width` cells."""
     each = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.size("cells") / width).cast("int") - 1, F.lit(0))), lambda b: F.struct(b.alias("band"), F.array_join(F.slice("cells", b * width + 1, F.lit(width)), ",").alias("key")))
@@ -159,25 +196,21 @@ def choose_band(cells: DataFrame, id_col: str, length: int, k: int, sample: int
     return best
 
 
-def lsh_knn(cells: DataFrame, id_col: str, k: int, width: int, max_bucket: int = 150) -> DataFrame:
-    """(src, dst, dist): k nearest among rows that share a band, by exact number of differing cells.
+def lsh_knn(cells: DataFrame, id_col: str, k: int, width: int, max_bucket: int = 150, block: int = BLOCK_ROWS) -> DataFrame:
+    """(src, dst, dist): k nearest among all rows that share a band, by exact number of differing cells.
 
-    A bucket above max_bucket is cut into even parts, rows alike in all cells next to each other: every row keeps
-    about max_bucket candidates, and a hot bucket makes about size x max_bucket pairs instead of its square. Banding is approximate in any case; raise max_bucket for more recall, or use knn.
+    A bucket above max_bucket is compared block by block and keeps k candidates a row and block, so a hot bucket
+    takes time by its square, and no row of it is left out. Rows that share no band are never compared; use knn for those.
     """
     b = bands(cells, id_col, width)
     size = b.groupBy("band", "key").agg(F.count("*").alias("n"))
     sized = b.join(size, ["band", "key"])
     small = sized.where(F.col("n") <= max_bucket).select("band", "key", "id", "cells")
-    # large buckets: even runs in the order of a hash of the whole array, so rows alike in all cells meet
-    big = sized.where(F.col("n") > max_bucket).withColumn("h", F.pmod(F.xxhash64("cells"), F.lit(1 << 32)))
-    run = F.floor(F.col("position") * F.ceil(F.col("n") / max_bucket) / F.col("n")).cast("string")
-    blocks = positions(big, ["band", "key"], "h", "id").select("band", F.concat_ws("#", "key", run).alias("key"), "id", "cells")
-    all_ = small.unionByName(blocks)
-    left = all_.select("band", "key", F.col("id").alias("src"), F.col("cells").alias("a"))
-    right = all_.select("band", "key", F.col("id").alias("dst"), F.col("cells").alias("b"))
-    pairs = left.join(right, ["band", "key"]).where(F.col("src") != F.col("dst")).select("src", "dst", mismatches("a", "b").alias("dist")).dropDuplicates(["src", "dst"])
-    return top_k(pairs, k)
+    left = small.select("band", "key", F.col("id").alias("src"), F.col("cells").alias("a"))
+    right = small.select("band", "key", F.col("id").alias("dst"), F.col("cells").alias("b"))
+    near = left.join(right, ["band", "key"]).where(F.col("src") != F.col("dst")).select("src", "dst", mismatches("a", "b").alias("dist"))
+    big = _all_blocks(sized.where(F.col("n") > max_bucket), k, block)
+    return top_k(near.unionByName(big).dropDuplicates(["src", "dst"]), k)
 
 
 def top_k(edges: DataFrame, k: int) -> DataFrame:

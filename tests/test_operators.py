@@ -257,3 +257,14 @@ def test_farthest_and_birch(spark):
     df = points(spark, x, y)
     assert len({i % 3 for i in compress.farthest_first(df, ["x", "y"], 3)}) == 3
     assert agreement(segment.birch(df, ["x", "y"], 1.0, 3), df.select("id", "truth")) == 1.0
+
+
+def test_neighbours_in_hot_bands_are_exact(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate((np.ones((300, 2), int), rng.integers(0, 4, (300, 6))), axis=1)
+    e = cells(spark, x)
+    d = (x[:, None] != x[None]).sum(2)
+    np.fill_diagonal(d, 999)
+    truth = {(i, int(j), int(d[i, j])) for i in range(300) for j in np.lexsort((np.arange(300), d[i]))[:4]}
+    for got in (pairs.lsh_knn(e, "id", 4, 2, max_bucket=40, block=64), pairs.lsh_knn(e, "id", 4, 2), pairs.knn(e, "id", 4, max_pairs=100)):
+        assert {tuple(r) for r in got.select("src", "dst", "dist").collect()} == truth
