@@ -1,8 +1,8 @@
 """Encoding of texts with a public byte-level BPE (problem 7) and their sizes in tokens.
 
 Texts of a batch are laid end to end as arrays of code points and bytes. Each code point gets a class
-from a table; piece boundaries follow from the classes of neighbouring code points and from two
-associative scans (running maximum) which carry the start and the end of white-space runs, so no regular
+from a table; piece boundaries follow from comparing the classes of neighbouring code points, in place of
+associative scans of a transition function, and contractions are patched by index, so no regular
 expression is used. Pieces are keyed by their bytes, looked up once per distinct piece in a cache of
 merged pieces, and the ids are gathered by offset. Piece offsets are kept (`Pieces.starts`), so that
 tokens can be mapped back to the text.
