@@ -59,17 +59,35 @@ def quantile_cuts(df: DataFrame, probs: dict[str, list[float]]) -> dict[str, lis
     return {c: sorted(x or 0.0 for x in q) for c, q in exact_quantiles(df.select(*[number(c).alias(c) for c in probs]), probs).items()}
 
 
-def bandwidth(x: np.ndarray, rule: str = "silverman") -> float:
-    s = float(np.std(x, ddof=1)) if len(x) > 1 else 0.0
-    q75, q25 = np.percentile(x, [75, 25])
+#: Rows that the rules of thumb for bandwidths count at most, so that large tables are not cut along noise.
+BANDWIDTH_ROWS = 5000
+
+
+def bandwidth(x: np.ndarray, rule: str = "silverman", n: np.ndarray | None = None) -> float:
+    """Of sorted values x that occur n times each. n^(-1/5) counts at most BANDWIDTH_ROWS rows."""
+    n = np.ones(len(x)) if n is None else n
+    rows = n.sum()
+    mean = (n * x).sum() / rows
+    s = float(np.sqrt((n * (x - mean) ** 2).sum() / (rows - 1))) if rows > 1 else 0.0
+    q25, q75 = _quantiles(x, n, (0.25, 0.75))
+    shrink = min(rows, BANDWIDTH_ROWS) ** -0.2
     if rule == "silverman":
-        a = min(s, (q75 - q25) / 1.34) if q75 > q25 else s
-        h = 0.9 * a * len(x) ** -0.2
+        h = 0.9 * (min(s, (q75 - q25) / 1.34) if q75 > q25 else s) * shrink
     else:
-        h = s * len(x) ** -0.2
+        h = s * shrink
     return max(h, (x.max() - x.min()) * 1e-4)
 
 
+def _quantiles(x: np.ndarray, n: np.ndarray, probs: tuple[float, ...]) -> list[float]:
+    """Linearly interpolated quantiles of sorted values that occur n times each."""
+    ends, out = np.cumsum(n), []
+    for p in probs:
+        h = (ends[-1] - 1) * p
+        lo, hi = (x[min(np.searchsorted(ends, k, "right"), len(x) - 1)] for k in (np.floor(h), np.ceil(h)))
+        out.append(float(lo + (hi - lo) * (h - np.floor(h))))
+    return out
+
+
 def _peaks(y: np.ndarray, least: float) -> list[int]:
     """Local maxima whose height above the higher of their side minima (up to a higher point) is at least `least`."""
     out = []
@@ -90,32 +108,34 @@ def _peaks(y: np.ndarray, least: float) -> list[int]:
     return out
 
 
-def density_cuts(x: np.ndarray, n_cuts: int, rng: np.random.Generator, rule: str = "silverman") -> tuple[list[float], str]:
+def density_cuts(x: np.ndarray, n_cuts: int, rng: np.random.Generator, rule: str = "silverman", n: np.ndarray | None = None) -> tuple[list[float], str]:
     """Cuts in the valleys of a Gaussian density estimate, and how they came about: kde, kde+uniform, uniform or quantile.
 
-    x is a bounded sample. Too few distinct values: evenly chosen midpoints; a constant or flat
-    distribution: uniform cuts. Surplus valleys are ranked by depth (0.7) and balance (0.3).
+    x: values, or (with n, how often each occurs) the weighted points of a column. Too few distinct values: evenly chosen midpoints; a
+    constant or flat distribution: uniform cuts. Surplus valleys are ranked by depth (0.7) and balance (0.3).
     """
-    x = np.sort(np.asarray(x, float)[np.isfinite(x)])
-    distinct = np.unique(x)
-    if len(distinct) <= 1:
-        return [float(distinct[0]) if len(distinct) else 0.0] * n_cuts, "uniform"
-    if len(x) <= 5 or len(distinct) <= n_cuts + 1:
-        mid = (distinct[1:] + distinct[:-1]) / 2
+    x = np.asarray(x, float)
+    n = np.ones(len(x)) if n is None else np.asarray(n, float)
+    use = np.isfinite(x)
+    x, at = np.unique(x[use], return_inverse=True)
+    n = np.bincount(at, n[use], len(x)) if len(x) else np.zeros(0)
+    rows = n.sum()
+    if len(x) <= 1:
+        return [float(x[0]) if len(x) else 0.0] * n_cuts, "uniform"
+    if rows <= 5 or len(x) <= n_cuts + 1:
+        mid = (x[1:] + x[:-1]) / 2
         return [float(mid[i]) for i in np.linspace(0, len(mid) - 1, n_cuts).round().astype(int)], "quantile"
 
     def uniform(k: int) -> list[float]:
         return sorted(float(v) for v in x[0] + rng.random(k) * (x[-1] - x[0]))
 
-    if len(x) > 10_000:
-        x = np.sort(rng.choice(x, 5000, replace=False))
-    h = bandwidth(x, rule)
-    grid = np.linspace(x[0] - 3 * h, x[-1] + 3 * h, int(np.clip(len(x), 256, 2048)))
+    h = bandwidth(x, rule, n)
+    grid = np.linspace(x[0] - 3 * h, x[-1] + 3 * h, int(np.clip(rows, 256, 2048)))
     y = np.zeros(len(grid))
-    for part in np.array_split(x, max(len(x) // 512, 1)):
-        y += np.exp(-0.5 * ((grid[:, None] - part) / h) ** 2).sum(1)
-    y /= len(x) * h * math.sqrt(2 * math.pi)
-    if y.max() / y.mean() < 1 + 2 * len(x) ** -0.2:
+    for part in np.array_split(np.arange(len(x)), max(len(x) // 512, 1)):
+        y += np.exp(-0.5 * ((grid[:, None] - x[part]) / h) ** 2) @ n[part]
+    y /= rows * h * math.sqrt(2 * math.pi)
+    if y.max() / y.mean() < 1 + 2 * min(rows, BANDWIDTH_ROWS) ** -0.2:
         return uniform(n_cuts), "uniform"
     tops = _peaks(y, 0.02 * y.max())
     tops = sorted(sorted(tops, key=lambda i: -y[i])[:50])
@@ -127,7 +147,7 @@ def density_cuts(x: np.ndarray, n_cuts: int, rng: np.random.Generator, rule: str
     if len(valleys) > n_cuts:
         def score(v: int) -> float:
             left, right = max(y[t] for t in tops if t < v), max(y[t] for t in tops if t > v)
-            share = np.searchsorted(x, grid[v]) / len(x)
+            share = n[: np.searchsorted(x, grid[v])].sum() / rows
             return 0.7 * (1 - y[v] / min(left, right)) + 0.3 * 2 * min(share, 1 - share)
 
         valleys = sorted(valleys, key=score, reverse=True)[:n_cuts]
@@ -135,10 +155,16 @@ def density_cuts(x: np.ndarray, n_cuts: int, rng: np.random.Generator, rule: str
     return (cuts, "kde") if len(cuts) == n_cuts else (sorted(cuts + uniform(n_cuts - len(cuts))), "kde+uniform")
 
 
-def sample_column(df: DataFrame, col: str, id_col: str, most: int = 10_000, seed: int = 0) -> np.ndarray:
-    """A reproducible sample of at most `most` finite values, by hash of the id."""
-    n = df.select(number(col).alias("x"), id_col).where(F.col("x").isNotNull())
-    size = n.count()
-    share = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(1_000_000)) < min(1_000_000, math.ceil(1.2e6 * most / max(size, 1)))
-    rows = n.where(share).orderBy(F.xxhash64(F.col(id_col), F.lit(seed))).limit(most).select("x").collect()
-    return np.array([r[0] for r in rows])
+#: Parts of the range of a column into which its values are summed up for a density.
+POINTS = 4096
+
+
+def weighted_points(df: DataFrame, col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The finite values of a column as at most POINTS + 1 points (means of equal parts of the range) and their counts: all rows, one aggregation."""
+    x = df.select(number(col).alias("x")).where(F.col("x").isNotNull())
+    r = x.agg(F.min("x").alias("a"), F.max("x").alias("b")).first()
+    if r["a"] is None:
+        return np.zeros(0), np.zeros(0)
+    width = (r["b"] / 2 - r["a"] / 2) / POINTS or 1.0
+    got = x.groupBy(F.floor((F.col("x") / 2 - F.lit(r["a"] / 2)) / F.lit(width)).alias("part")).agg(F.avg("x").alias("v"), F.count("*").alias("n")).toPandas()
+    return got["v"].to_numpy(float), got["n"].to_numpy(float)

@@ -9,18 +9,30 @@ from pyspark.sql import functions as F
 
 from tabseg.functions.profile import number, value_counts
 from tabseg.functions.quantiles import exact_quantiles
-from tabseg.session import broadcast_if_small
+from tabseg.session import broadcast_if_small, materialise
 
 #: Names of the bucket of rare values and of missing categories.
 RARE, MISSING = "__rare__", "__missing__"
 
 
+#: Distinct values of a span of `category_codes`.
+SPAN_VALUES = 50_000
+
+
 def category_codes(df: DataFrame, col: str) -> DataFrame:
-    """(value, code): codes 0.. by order of text. The dictionary is a table, so it may be large."""
+    """(value, code): codes 0.. by order of text. The dictionary is a table, so it may be large: it is numbered within spans of
+    the order (a range partitioning), plus what lies in the spans before."""
     from pyspark.sql.window import Window
 
-    # the one unpartitioned window runs over distinct values, not over rows
-    return df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value")).agg(F.lit(1).alias("x")).select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
+    values = df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("string").alias("value")).agg(F.lit(1).alias("x"))
+    parts = int(min(max(values.count() // SPAN_VALUES, 1), 4096))
+    if parts == 1:
+        return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
+    ranged = materialise(values.repartitionByRange(parts, "value").withColumn("part", F.spark_partition_id()))
+    size = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    start = size.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    inner = F.row_number().over(Window.partitionBy("part").orderBy("value")) - 1
+    return ranged.withColumn("inner", inner).join(F.broadcast(start), "part").select("value", (F.col("start") + F.col("inner")).cast("int").alias("code"))  # one row per span
 
 
 def encode_category(df: DataFrame, col: str, codes: DataFrame, name: str | None = None) -> DataFrame:
@@ -82,6 +94,39 @@ def onehot_columns(df: DataFrame, col: str, limit: int = 1000) -> list[Column]:
     return [F.coalesce((F.col(col).cast("string") == v).cast("double"), F.lit(0.0)).alias(f"{col}={v}") for v in levels]
 
 
+@dataclass
+class Normaliser:
+    """One transformer for mixed tables: numeric texts become numbers, rare and unseen categories one bucket, and missing values indicators.
+
+    kinds: column -> numerical or categorical. Indicators ({col}__missing, categorical) only for columns that had missing values when fitted.
+    """
+
+    kinds: dict[str, str]
+    missing_indicators: bool = False
+    rare_min_count: int = 1
+    rare_min_share: float = 0.0
+    had_missing: list[str] = field(default_factory=list)
+    kept: dict[str, DataFrame] = field(default_factory=dict)
+
+    def fit(self, df: DataFrame) -> Normaliser:
+        cols = list(self.kinds)
+        r = df.agg(*[F.count_if((number(c) if self.kinds[c] == "numerical" else F.col(c)).isNull()).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+        self.had_missing = [c for i, c in enumerate(cols) if r[f"n{i}"]] if self.missing_indicators else []
+        if self.rare_min_count > 1 or self.rare_min_share > 0:
+            self.kept = {c: materialise(kept_values(df, c, self.rare_min_count, self.rare_min_share)) for c in cols if self.kinds[c] == "categorical"}
+        return self
+
+    def transform(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        x = df.select(*keep, *[number(c).alias(c) if k == "numerical" else F.col(c).cast("string").alias(c) for c, k in self.kinds.items()])
+        x = x.withColumns({f"{c}__missing": F.col(c).isNull().cast("int").cast("string") for c in self.had_missing}) if self.had_missing else x
+        for c, kept in self.kept.items():
+            x = group_rare(x, c, kept)
+        return x.select(*keep, *self.kinds_out())
+
+    def kinds_out(self) -> dict[str, str]:
+        return self.kinds | {f"{c}__missing": "categorical" for c in self.had_missing}
+
+
 @dataclass
 class Preprocessor:
     """Numbers imputed by the median and standardised, categories imputed and one-hot encoded: numbers first."""

@@ -14,7 +14,7 @@ from tabseg.functions.quantiles import exact_quantiles
 from tabseg.session import finite
 
 #: Parts of a name that mark an integer column as an identifier.
-ID_PARTS = ("_id", "id_", "code_", "_code", "idx", "index")
+ID_PARTS = ("_id", "id_", "userid", "user_id", "itemid", "item_id", "code_", "_code", "idx", "index")
 
 
 def number(c: str) -> Column:

@@ -25,31 +25,32 @@ def pearson(df: DataFrame, cols: list[str], impute: bool = True) -> dict[tuple[s
     return {p: 0.0 if r[f"r{i}"] is None or np.isnan(r[f"r{i}"]) else float(r[f"r{i}"]) for i, p in enumerate(pairs)}
 
 
+#: Distinct values of a span of `average_ranks`.
+SPAN_VALUES = 20_000
+
+
 def average_ranks(df: DataFrame, col: str) -> DataFrame:
     """(v, rank) of every distinct finite value: ranks from 1, equal values share the mean of theirs.
 
-    Ranks are running sums over distinct values inside 1024 spans of the range, plus what lies in the spans
-    before; so no task sees the whole column.
+    Ranks are running sums over distinct values inside spans, plus what lies in the spans before. The spans' ends are
+    approximate quantiles of the distinct values, as many as keep a span small; so no task sees the whole column.
     """
     per = df.select(number(col).alias("v")).where(F.col("v").isNotNull()).groupBy("v").agg(F.count("*").alias("n"))
-    cut = per.withColumn("part", F.width_bucket(F.col("v"), *_ends(per), F.lit(1024)))
+    parts = int(min(max(per.count() // SPAN_VALUES, 1), 4096))
+    ends = sorted(set(per.agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 10_000).alias("e")).first()["e"] or [])) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(float(e)) for e in ends]), lambda e: e <= F.col("v"))) if ends else F.lit(0)
+    cut = per.withColumn("part", part)
     before = cut.groupBy("part").agg(F.sum("n").alias("in_part"))
     start = before.select("part", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
     inner = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
     return cut.withColumn("upto", inner).join(F.broadcast(start), "part").select("v", (F.col("start") + F.col("upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
-def _ends(per: DataFrame) -> tuple:
-    r = per.agg(F.min("v"), F.max("v")).first()
-    lo, hi = (r[0], r[1]) if r[0] is not None else (0.0, 1.0)
-    return F.lit(float(lo)), F.lit(float(hi) if hi > lo else float(lo) + 1.0)
-
-
 def spearman(df: DataFrame, cols: list[str], sample: float | None = None, seed: int = 0) -> dict[tuple[str, str], float]:
     """Rank correlations over all rows, or over a share of them."""
     x = df.select(*[number(c).alias(c) for c in cols])
-    if sample is not None:
-        x = x.sample(sample, seed)
+    if sample is not None:  # by a hash of the values, so that partitions don't matter
+        x = x.where(F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1_000_000)) < int(1e6 * sample))
     for c in cols:
         ranks = average_ranks(x, c).withColumnRenamed("v", "__v").withColumnRenamed("rank", "__rank")
         x = x.join(broadcast_if_small(ranks), x[c] == F.col("__v"), "left").drop("__v").withColumn(c, F.col("__rank")).drop("__rank")

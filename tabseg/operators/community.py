@@ -2,129 +2,150 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabseg.operators import pairs
-from tabseg.session import broadcast_if_small, hash32, materialise
-
-#: Edges up to which communities are found on the driver; larger graphs are condensed in the cluster first.
-LOCAL_EDGES = 200_000
-
-
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """(id, component): the smallest id that is connected with id. Each round takes the neighbours' minimum and then the minimum's own."""
-    both = materialise(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct())
-    state = materialise(nodes.select("id", F.col("id").alias("component")))
-    for _ in range(most_rounds):
-        near = both.join(state.select(F.col("id").alias("dst"), "component"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("component").alias("near"))
-        step = state.join(near, "id", "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("next"))
-        jump = state.select(F.col("id").alias("next"), F.col("component").alias("over"))
-        new = step.join(jump, "next", "left").select("id", F.least("next", F.coalesce("over", "next")).alias("component"), F.col("component").alias("was"))
-        new = materialise(new)
-        state = new.select("id", "component")
-        if new.where("component <> was").isEmpty():
-            break
-    return state
-
-
-def _local_louvain(src: np.ndarray, dst: np.ndarray, w: np.ndarray, n: int, resolution: float, seed: int, most_levels: int = 20) -> np.ndarray:
-    """Louvain on a graph with both directions listed; loops carry the weight inside condensed nodes."""
-    rng = np.random.default_rng(seed)
-    whole = np.arange(n)
-    m2 = w.sum()
-    for _ in range(most_levels):
-        order = np.argsort(src, kind="stable")
-        s, d, x = src[order], dst[order], w[order]
-        starts = np.searchsorted(s, np.arange(n + 1))
-        degree = np.bincount(s, x, n)
-        label, total = np.arange(n), degree.copy()
-        moved_any = False
-        for _ in range(50):
-            moved = 0
-            for i in rng.permutation(n):
-                lo, hi = starts[i], starts[i + 1]
-                if lo == hi:
-                    continue
-                near: dict[int, float] = {}
-                for j, v in zip(d[lo:hi], x[lo:hi]):
-                    if j != i:
-                        c = int(label[j])
-                        near[c] = near.get(c, 0.0) + v
-                own = int(label[i])
-                total[own] -= degree[i]
-                best, gain = own, near.get(own, 0.0) - resolution * degree[i] * total[own] / m2
-                for c in sorted(near):
-                    g = near[c] - resolution * degree[i] * total[c] / m2
-                    if g > gain + 1e-12:
-                        best, gain = c, g
-                total[best] += degree[i]
-                if best != own:
-                    label[i] = best
-                    moved += 1
-            moved_any |= moved > 0
-            if moved == 0:
-                break
-        names, label = np.unique(label, return_inverse=True)
-        whole = label[whole]
-        if not moved_any or len(names) == n:
+from tabseg.session import broadcast_if_small, forget, gathered, hash32, materialise
+
+#: Rounds of moves after which a level of communities is condensed even if rows would still move.
+MOST_TURNS = 24
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    return gathered(materialise(df))
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the smallest id that is connected with id.
+
+    Every round each node points to the neighbour of smallest random rank (or stays), takes its pointer's pointer,
+    and the graph is contracted along the pointers, so that nodes and edges shrink by a constant factor; it ends
+    when no edge is left. The rounds' pointers are then composed from the last to the first.
+    """
+    left = _stored(edges.select(F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b")).where("a <> b").distinct())
+    both = _stored(left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    forget(left)
+    moves: list[DataFrame] = []
+    while not both.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(moves))).alias("h"), F.col(c).alias("v"))
+        near = both.groupBy("a").agg(F.min(rank("b")).alias("near")).select(F.col("a").alias("v"), F.least("near", rank("a"))["v"].alias("to"))
+        near = _stored(near)
+        move = _stored(near.join(near.select(F.col("v").alias("to"), F.col("to").alias("over")), "to").select("v", F.col("over").alias("to")))
+        forget(near)
+        step = both.join(move.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").join(move.select(F.col("v").alias("b"), F.col("to").alias("y")), "b")
+        smaller = _stored(step.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+        forget(both)
+        both = smaller
+        moves.append(move)
+    root: DataFrame | None = None
+    for move in reversed(moves):
+        if root is None:
+            root = move
+            continue
+        longer = _stored(move.join(root.select(F.col("v").alias("to"), F.col("to").alias("end")), "to", "left").select("v", F.coalesce("end", "to").alias("to")))
+        forget(root, move)
+        root = longer
+    ids = nodes.select(F.col("id"))
+    if root is None:
+        return ids.select("id", F.col("id").alias("component"))
+    first = root.groupBy("to").agg(F.least(F.min("v"), F.first("to")).alias("component"))
+    held = root.join(first, "to").select(F.col("v").alias("id"), "component")
+    return ids.join(held, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _moved(edges: DataFrame, state: DataFrame, resolution: float, seed: object, half: int, m2: float) -> DataFrame:
+    """One round of moves by modularity gain: id, label, k (degree), was. One half of the nodes, parted by hash, may move."""
+    totals = state.groupBy("label").agg(F.sum("k").alias("total"))
+    near = edges.join(state.select(F.col("id").alias("dst"), "label"), "dst").select(F.col("src").alias("id"), "label", "w")
+    near = near.unionByName(state.select("id", "label", F.lit(0.0).alias("w"))).groupBy("id", "label").agg(F.sum("w").alias("w"))
+    scored = near.join(totals, "label").join(state.select("id", "k", F.col("label").alias("own")), "id")
+    here = F.col("label") == F.col("own")
+    gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("total") - F.when(here, F.col("k")).otherwise(0.0)) / F.lit(m2)
+    # equal gains: stay, else the smallest label; gains are compared to twelve digits of the node's degree
+    order = F.struct(F.round(gain / F.col("k"), 12).alias("g"), here.alias("stay"), (-F.col("label")).alias("less"))
+    best = scored.groupBy("id").agg(F.max_by("label", order).alias("best"), F.first("own").alias("was"), F.first("k").alias("k"))
+    may = F.pmod(hash32(F.col("id"), f"louvain:{seed}"), F.lit(2)) == half
+    return best.select("id", F.when(may, F.col("best")).otherwise(F.col("was")).alias("label"), "k", "was")
+
+
+def _settle(edges: DataFrame, state: DataFrame, resolution: float, seed: object, m2: float) -> tuple[DataFrame, bool]:
+    """Rounds of moves, of one half and then of the other, until both change nothing; whether anything moved. edges: no loops."""
+    any_ = False
+    for turn in range(MOST_TURNS // 2):
+        one = _moved(edges, state, resolution, f"{seed}:{turn}", 0, m2)
+        two = _moved(edges, one.drop("was"), resolution, f"{seed}:{turn}", 1, m2).drop("was")
+        new = _stored(two.join(state.select("id", F.col("label").alias("was")), "id"))
+        moved = not new.where("label <> was").isEmpty()
+        forget(state)
+        state = new.drop("was")
+        state._stored_at = new._stored_at
+        any_ |= moved
+        if not moved:
             break
-        n = len(names)
-        key = label[src] * n + label[dst]
-        keys, at = np.unique(key, return_inverse=True)
-        w = np.bincount(at, w)
-        src, dst = keys // n, keys % n
-    return whole
-
-
-def _condense_step(edges: DataFrame, state: DataFrame, resolution: float, turn: int, m2: float) -> DataFrame:
-    """One synchronous round of moves by modularity gain; half of the nodes, chosen by hash, may move."""
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
-    totals = state.join(degree, "id").groupBy("label").agg(F.sum("k").alias("total"))
-    near = edges.where("src <> dst").join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("w").alias("w"))
-    scored = near.join(totals, "label").join(degree, "id").join(state.select("id", F.col("label").alias("own")), "id")
-    gain = F.col("w") - F.lit(resolution) * F.col("k") * (F.col("total") - F.when(F.col("label") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(m2)
-    best = scored.withColumn("gain", gain).groupBy("id").agg(F.max_by("label", F.struct("gain", -F.col("label"))).alias("best"), F.max("gain").alias("gain"))
-    may = F.pmod(hash32(F.col("id"), f"louvain:{turn}"), F.lit(2)) == 0
-    return state.join(best, "id", "left").select("id", F.when(may & (F.col("gain") > 0), F.col("best")).otherwise(F.col("label")).alias("label"))
-
-
-def louvain(nodes: DataFrame, similar: DataFrame, resolution: float = 1.0, seed: int = 42, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    return state, any_
+
+
+def louvain(nodes: DataFrame, similar: DataFrame, resolution: float = 1.0, seed: int = 42, refine: bool = False) -> DataFrame:
     """(id, label): communities of high modularity. similar: src, dst, w in both directions; nodes without edges stay alone.
 
-    A large graph is condensed by synchronous rounds in the cluster until what is left fits on the driver.
+    The same at every size: rounds of simultaneous moves in the cluster, then communities are condensed to nodes, until
+    nothing moves. With `refine` (Leiden) what is condensed are not the communities but their well connected parts, found
+    by moves inside each community that begin from single nodes; so every community is connected.
     """
-    edges = materialise(similar.select("src", "dst", F.col("w").cast("double").alias("w")))
-    place = materialise(nodes.select("id", F.col("id").alias("label")))
+    edges = _stored(similar.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst"), F.col("w").cast("double").alias("w")).where("w > 0"))
     m2 = edges.agg(F.sum("w")).first()[0] or 0.0
-    while m2 and edges.count() > local_edges:
-        state = materialise(edges.select(F.col("src").alias("id")).distinct().select("id", F.col("id").alias("label")))
-        for turn in range(8):
-            state = materialise(_condense_step(edges, state, resolution, turn, m2))
-        a = state.select(F.col("id").alias("src"), F.col("label").alias("a"))
-        b = state.select(F.col("id").alias("dst"), F.col("label").alias("b"))
-        small = materialise(edges.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
-        place = materialise(place.join(state.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left").select("id", F.coalesce("to", "label").alias("label")))
-        if small.count() > 0.9 * edges.count():
-            raise ValueError("the graph does not condense; raise local_edges or the resolution")
-        edges = small
-    local = edges.toPandas()
-    names = np.unique(np.concatenate((local["src"], local["dst"]))) if len(local) else np.zeros(0, np.int64)
-    found = _local_louvain(np.searchsorted(names, local["src"]), np.searchsorted(names, local["dst"]), local["w"].to_numpy(float), len(names), resolution, seed) if m2 else np.zeros(0, np.int64)
-    first = {int(c): int(names[i]) for i, c in reversed(list(enumerate(found)))}
-    table = nodes.sparkSession.createDataFrame([(int(v), first[int(c)]) for v, c in zip(names, found)], "label bigint, to bigint")
-    return place.join(broadcast_if_small(table), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+    place = _stored(nodes.select("id", F.col("id").cast("bigint").alias("node")))
+    if not m2:
+        return place.select("id", F.col("node").alias("label"))
+    state = _stored(edges.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")).select("id", F.col("id").alias("label"), "k"))
+    level = 0
+    while True:
+        inner = edges.where("src <> dst")
+        state, moved = _settle(inner, state, resolution, f"{seed}:{level}", m2)
+        if not moved and level:
+            break
+        parts = state
+        if refine:
+            a, b = state.select(F.col("id").alias("src"), F.col("label").alias("a")), state.select(F.col("id").alias("dst"), F.col("label").alias("b"))
+            inside = _stored(inner.join(a, "src").join(b, "dst").where("a = b").select("src", "dst", "w"))
+            single = _stored(state.select("id", F.col("id").alias("label"), "k"))
+            parts, _ = _settle(inside, single, resolution, f"{seed}:{level}:refine", m2)
+            forget(inside)
+        # parts become nodes; each starts in the community that its members were in
+        whole = _stored(parts.select("id", F.col("label").alias("part"), "k").join(state.select("id", "label"), "id"))
+        begin = _stored(whole.groupBy(F.col("part").alias("id")).agg(F.min("label").alias("community"), F.sum("k").alias("k")))
+        names = begin.groupBy("community").agg(F.min("id").alias("label"))  # labels are ids of nodes
+        begin2 = _stored(begin.join(names, "community").select("id", "label", "k"))
+        to_a, to_b = whole.select(F.col("id").alias("src"), F.col("part").alias("a")), whole.select(F.col("id").alias("dst"), F.col("part").alias("b"))
+        small = _stored(edges.join(to_a, "src").join(to_b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+        on = _stored(place.join(whole.select(F.col("id").alias("node"), "part"), "node", "left").select("id", F.coalesce("part", "node").alias("node")))
+        shrunk = begin2.count() < whole.count()
+        forget(place, edges, state, parts, whole, begin)
+        place, edges, state, level = on, small, begin2, level + 1
+        if not shrunk:
+            break
+    return place.join(state.select(F.col("id").alias("node"), "label"), "node", "left").select("id", F.coalesce("label", "node").alias("label"))
 
 
 def leiden(nodes: DataFrame, similar: DataFrame, resolution: float = 1.0, seed: int = 42) -> DataFrame:
-    """Louvain communities, refined so that each is connected: what hangs together only through other communities is split."""
-    found = materialise(louvain(nodes, similar, resolution, seed))
+    """Louvain with refinement, so that communities are connected; simultaneous moves could still part one, so its components are the result."""
+    found = materialise(louvain(nodes, similar, resolution, seed, refine=True))
     a, b = found.select(F.col("id").alias("src"), F.col("label").alias("a")), found.select(F.col("id").alias("dst"), F.col("label").alias("b"))
-    inside = similar.select("src", "dst").join(a, "src").join(b, "dst").where("a = b").select("src", "dst")
+    inside = similar.where("w > 0").select("src", "dst").join(a, "src").join(b, "dst").where("a = b").select("src", "dst")
     return components(nodes, inside).select("id", F.col("component").alias("label"))
 
 
+def modularity(similar: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """Modularity of labels (id, label) over the weighted edges in both directions."""
+    a, b = labels.select(F.col("id").alias("src"), F.col("label").alias("a")), labels.select(F.col("id").alias("dst"), F.col("label").alias("b"))
+    e = similar.join(a, "src").join(b, "dst")
+    m2 = e.agg(F.sum("w")).first()[0] or 0.0
+    inside = e.where("a = b").agg(F.sum("w")).first()[0] or 0.0
+    squares = e.groupBy("a").agg(F.sum("w").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0] or 0.0
+    return inside / m2 - resolution * squares / m2**2 if m2 else 0.0
+
+
 def renumber(labels: DataFrame) -> DataFrame:
     """Labels 0.. by falling size, then by smallest id; -1 stays. The numbering runs over labels, not rows."""
     from pyspark.sql.window import Window
@@ -134,8 +155,8 @@ def renumber(labels: DataFrame) -> DataFrame:
     return labels.join(broadcast_if_small(number), "label", "left").select("id", F.coalesce("number", F.lit(-1)).cast("int").alias("label"))
 
 
-def handle_noise(labels: DataFrame, strategy: str = "mark", edges: DataFrame | None = None) -> DataFrame:
-    """mark: lone rows get -1 (all lone: one cluster 0); merge: the label of the nearest row in a larger cluster; singleton: kept."""
+def handle_noise(labels: DataFrame, strategy: str = "mark", cells: DataFrame | None = None) -> DataFrame:
+    """mark: lone rows get -1 (all lone: one cluster 0); merge: the label of the nearest of all rows in larger clusters (cells: id, cells); singleton: kept."""
     size = labels.groupBy("label").agg(F.count("*").alias("n"))
     x = labels.join(broadcast_if_small(size), "label")
     if strategy == "singleton":
@@ -143,9 +164,11 @@ def handle_noise(labels: DataFrame, strategy: str = "mark", edges: DataFrame | N
     if size.where("n > 1").isEmpty():
         return labels.select("id", F.lit(0).alias("label"))
     if strategy == "merge":
-        crowd = x.where("n > 1").select(F.col("id").alias("dst"), F.col("label").alias("to"))
-        near = edges.join(x.where("n = 1").select(F.col("id").alias("src")), "src").join(crowd, "dst").groupBy(F.col("src").alias("id")).agg(F.min_by("to", F.struct("dist", "dst")).alias("to"))
-        return renumber(x.join(near, "id", "left").select("id", F.when(F.col("n") == 1, F.coalesce("to", F.lit(-1))).otherwise(F.col("label")).alias("label")))
+        x = materialise(x.select("id", "label", "n"))
+        lone, crowd = x.where("n = 1").select("id"), x.where("n > 1").select(F.col("id"), F.col("label").alias("to"))
+        near = pairs.nearest_other(cells.join(lone, "id", "left_semi"), cells.join(crowd, "id", "left_semi"), "id", "id")
+        to = near.select("id", F.col("other")).join(crowd.select(F.col("id").alias("other"), "to"), "other").select("id", "to")
+        return renumber(x.join(to, "id", "left").select("id", F.coalesce("to", "label").alias("label")))
     return renumber(x.select("id", F.when(F.col("n") == 1, -1).otherwise(F.col("label")).alias("label")))
 
 
@@ -168,15 +191,14 @@ def graph_clusters(cells: DataFrame, id_col: str, k: int = 15, resolution: float
 
     Neighbours are exact at every size; banding=True asks for those that share a band instead.
     """
-    n = cells.count()
-    first = cells.select(F.size("cells")).first()
-    if not n:
+    if cells.isEmpty():
         return cells.select(F.col(id_col).alias("id"), F.lit(0).alias("label"))
-    near = pairs.lsh_knn(cells, id_col, k, pairs.choose_band(cells, id_col, first[0], k)) if banding else pairs.knn(cells, id_col, k)
-    near = materialise(near)
-    if banding and near.count() < n:
+    if mutual:
         near = materialise(pairs.knn(cells, id_col, k))
-    both = materialise(pairs.mutual(near) if mutual else pairs.symmetrise(near))
+        both = materialise(pairs.mutual(near))
+    else:
+        both = materialise(pairs.sparse_graph(cells, id_col, k, banding))
     nodes = cells.select(F.col(id_col).alias("id"))
     find = leiden if algorithm == "leiden" else louvain
-    return handle_noise(materialise(find(nodes, pairs.edge_similarity(both, weight), resolution, seed)), noise, near)
+    found = materialise(find(nodes, pairs.edge_similarity(both, weight), resolution, seed))
+    return handle_noise(found, noise, cells.select(F.col(id_col).cast("bigint").alias("id"), "cells"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,7 +51,7 @@ def compress(cells: DataFrame, id_col: str, depth: int, preserve_rare: int = 0,
     Buckets share the first `depth` cells; members of buckets below preserve_rare rows stay on their own.
     """
     rows = cells.select(F.col(id_col).alias("id"), "cells", F.xxhash64(F.slice("cells", 1, depth)).alias("bucket"))
-    size = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    size = broadcast_if_small(rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("first")))
     x = rows.join(size, "bucket").withColumn("rare", F.col("n") < preserve_rare)
     members = materialise(x.select("id", "cells", "rare", F.when(F.col("rare"), F.col("id")).otherwise(F.col("first")).alias("proto")))
     chosen = medoids(members) if representative == "medoid" else members.groupBy("proto").agg(F.min("id").alias("id"))
@@ -58,17 +60,32 @@ def compress(cells: DataFrame, id_col: str, depth: int, preserve_rare: int = 0,
     return materialise(protos), members.select("id", "proto")
 
 
-def assign(new: DataFrame, id_col: str, protos: DataFrame, max_pairs: int = 2_000_000_000) -> DataFrame:
-    """(id, proto, dist): the prototype with the same cells, else the one with the fewest mismatches (ties: smallest)."""
-    rows = new.select(F.col(id_col).alias("id"), "cells")
-    exact = protos.groupBy(F.col("cells").alias("pc")).agg(F.min("proto").alias("proto"))
-    hit = rows.join(broadcast_if_small(exact), F.col("cells") == F.col("pc"))
-    left = rows.join(broadcast_if_small(exact), F.col("cells") == F.col("pc"), "left_anti")
-    if left.count() * protos.count() > max_pairs:
-        raise ValueError("too many comparisons; use fewer prototypes")
-    far = left.join(broadcast_if_small(protos.select("proto", F.col("cells").alias("pc"))), F.lit(True)).select("id", "proto", pairs.mismatches("cells", "pc").alias("dist"))
-    best = far.groupBy("id").agg(F.min(F.struct("dist", "proto")).alias("b")).select("id", "b.proto", "b.dist")
-    return hit.select("id", "proto", F.lit(0).alias("dist")).unionByName(best)
+def assign(new: DataFrame, id_col: str, protos: DataFrame) -> DataFrame:
+    """(id, proto, dist): the prototype with the same cells, else the one with the fewest mismatches (ties: smallest), compared block by block."""
+    rows = new.select(F.col(id_col).cast("bigint").alias("id"), "cells")
+    exact = broadcast_if_small(protos.groupBy(F.col("cells").alias("pc")).agg(F.min("proto").alias("proto")))
+    held = materialise(rows.join(exact, F.col("cells") == F.col("pc"), "left").drop("pc"))
+    far = pairs.nearest_other(held.where("proto IS NULL").select("id", "cells"), protos, "id", "proto")
+    return held.where("proto IS NOT NULL").select("id", "proto", F.lit(0).alias("dist")).unionByName(far.select("id", F.col("other").alias("proto"), "dist"))
+
+
+def assign_points(points: DataFrame, cols: list[str], protos: DataFrame) -> DataFrame:
+    """(id, proto, dist): the prototype (proto, cols) nearest by Euclidean distance, for features instead of cells; ties: the smallest."""
+    n, m = points.count(), protos.count()
+    vec = F.array(*[F.col(c).cast("double") for c in cols]).alias("cells")
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        b = b.sort_values("id", kind="stable")
+        x, y = np.stack(a["cells"].to_numpy()), np.stack(b["cells"].to_numpy())
+        out = []
+        for lo in range(0, len(x), 256):
+            d = ((x[lo : lo + 256, None] - y[None]) ** 2).sum(2)
+            at = d.argmin(1)
+            out.append(pd.DataFrame({"id": a["id"].to_numpy()[lo : lo + 256], "proto": b["id"].to_numpy()[at], "dist": np.sqrt(d[np.arange(len(at)), at])}))
+        return pd.concat(out)
+
+    got = pairs.by_blocks(points.select(F.col("id").cast("bigint").alias("id"), vec), protos.select(F.col("proto").cast("bigint").alias("id"), vec), F.lit(pairs.parts_of(n)), F.lit(pairs.parts_of(m)), [], kernel, "id bigint, proto bigint, dist double")
+    return got.groupBy("id").agg(F.min(F.struct("dist", "proto")).alias("m")).select("id", "m.proto", "m.dist")
 
 
 def report(protos: DataFrame, assignment: DataFrame, cells: DataFrame, id_col: str) -> DataFrame:

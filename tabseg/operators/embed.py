@@ -86,33 +86,41 @@ def long_cells(cells: DataFrame, id_col: str) -> DataFrame:
     return cells.select(F.col(id_col).alias("id"), F.posexplode("cells").alias("l", "cell"))
 
 
-def phi(cells: DataFrame, id_col: str, weights: np.ndarray, keep: list[str] | None = None) -> DataFrame:
-    """id, features (sparse vector): one-hot cells scaled by sqrt(w/2), whose squared distance is the weighted Hamming distance.
+#: Distinct (iteration, cell) pairs up to which one-hot columns are given: each is a column of every k-means centre.
+DICTIONARY = 2_000_000
+
+
+def sparse_capable(clusterer: str) -> bool:
+    """Whether a clusterer of that name works on one-hot cells; the others get the cells or distances."""
+    return clusterer.lower() in ("kmeans", "minibatchkmeans", "birch")
 
-    Cells are hashed into a fixed number of columns per iteration only if they are too many; else they get
-    consecutive columns, from a dictionary whose size is that of the cell histogram.
-    """
-    from pyspark.ml.linalg import SparseVector, VectorUDT
 
+def scaled(weights: np.ndarray) -> np.ndarray:
+    """sqrt(w/2) of the normalised weights; unusable ones (not finite, all zero) count as uniform."""
     w = np.asarray(weights, float)
-    w = np.sqrt((w / w.sum() if w.sum() > 0 and np.isfinite(w).all() else np.full(len(w), 1 / len(w))) / 2)
-    seen = long_cells(cells, id_col).select("l", "cell").distinct().limit(DICTIONARY + 1).collect()
-    if len(seen) > DICTIONARY:
-        raise ValueError("too many distinct cells for one-hot features; use fewer bins or features per iteration")
-    number_of = {key: i for i, key in enumerate(sorted((r["l"], r["cell"]) for r in seen))}
-    sent = cells.sparkSession.sparkContext.broadcast(number_of)
-    size = max(len(number_of), 1)
+    return np.sqrt((w / w.sum() if np.isfinite(w).all() and w.sum() > 0 else np.full(len(w), 1 / max(len(w), 1))) / 2)
 
-    @F.udf(VectorUDT())
-    def vector(row):
-        at = [sent.value.get((i, c)) for i, c in enumerate(row)]
-        return SparseVector(size, [(a, float(w[i])) for i, a in enumerate(at) if a is not None])
 
-    return cells.select(F.col(id_col).alias("id"), *(keep or []), vector("cells").alias("features"))
+def phi(cells: DataFrame, id_col: str, weights: np.ndarray | None, keep: list[str] | None = None) -> DataFrame:
+    """id, keep, features (sparse vector): one-hot cells scaled by sqrt(w/2), whose squared distance is the weighted Hamming distance.
 
+    weights None: the bare one-hot cells (value 1), as for leaves. The vectors are made in the JVM, from the dictionary of the cells that occur, which
+    has the size of the cell histogram; beyond DICTIONARY of them it raises, for every centre of k-means would be as wide.
+    """
+    from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+    from pyspark.ml.linalg import Vectors
 
-#: Distinct (iteration, cell) pairs for which phi keeps a dictionary.
-DICTIONARY = 2_000_000
+    keep = keep or []
+    words = cells.select(F.col(id_col).alias("id"), *keep, F.transform("cells", lambda c, l: F.concat_ws(":", l, c)).alias("__words"))
+    known = [r[0] for r in words.select(F.explode("__words").alias("w")).distinct().limit(DICTIONARY + 1).collect()]
+    if len(known) > DICTIONARY:
+        raise ValueError("too many distinct cells for one-hot features; use fewer bins or features per iteration")
+    known = sorted(known, key=lambda w: tuple(map(int, w.split(":")))) or [""]
+    v = CountVectorizerModel.from_vocabulary(known, inputCol="__words", outputCol="__features").transform(words)
+    if weights is None:
+        return v.select("id", *keep, F.col("__features").alias("features"))
+    scale = scaled(weights)
+    return ElementwiseProduct(scalingVec=Vectors.dense([scale[int(w.split(":")[0])] if w else 0.0 for w in known]), inputCol="__features", outputCol="features").transform(v).select("id", *keep, "features")
 
 
 def embed_sql(table: str, id_col: str, sketch: Sketch) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tabseg.functions.encode import Preprocessor
 from tabseg.functions.profile import number
 from tabseg.operators import metrics
-from tabseg.session import hash32
+from tabseg.session import broadcast_if_small, hash32
 
 
 def cluster_sizes(labels: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def numeric_profile(df: DataFrame, label: str, cols: list[str]) -> DataFrame:
     per = x.groupBy("label", "feature").agg(F.avg("x").alias("mean"))
     whole = x.groupBy("feature").agg(F.avg("x").alias("global_mean"), F.stddev_samp("x").alias("s"))
     d = F.col("mean") - F.col("global_mean")
-    return per.join(F.broadcast(whole), "feature").select("label", "feature", "mean", "global_mean", d.alias("difference"), F.when(F.col("s") > 0, d / F.col("s")).otherwise(0.0).alias("effect"))
+    return per.join(broadcast_if_small(whole), "feature").select("label", "feature", "mean", "global_mean", d.alias("difference"), F.when(F.col("s") > 0, d / F.col("s")).otherwise(0.0).alias("effect"))
 
 
 def category_profile(df: DataFrame, label: str, cols: list[str], top: int = 3) -> DataFrame:
@@ -46,7 +46,7 @@ def cards(df: DataFrame, label: str, numeric: list[str], categorical: list[str],
     n = numeric_profile(df, label, numeric)
     w = Window.partitionBy("label").orderBy(F.desc(F.abs("effect")), "feature")
     n = n.withColumn("r", F.row_number().over(w)).where(F.col("r") <= top)
-    told = F.format_string("%s %s (%.3g against %.3g)", F.when(F.col("effect") >= 0, "high").otherwise("low"), "feature", "mean", "global_mean")
+    told = F.format_string("%s %s (%.2f against %.2f)", F.when(F.col("effect") >= 0, "high").otherwise("low"), "feature", "mean", "global_mean")
     a = n.groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", told.alias("t")))), lambda s: s["t"]), "; ").alias("numbers"))
     c = category_profile(df, label, categorical, 1) if categorical else None
     out = sizes.join(a, "label", "left")
@@ -74,7 +74,7 @@ def balanced(labelled: DataFrame) -> DataFrame:
     n = labelled.groupBy("label").agg(F.count("*").alias("n_class"))
     whole = n.agg(F.sum("n_class").alias("n_all"), F.count("*").alias("k"))
     w = n.crossJoin(F.broadcast(whole)).select("label", (F.col("n_all") / (F.col("k") * F.col("n_class"))).alias("weight"))
-    return labelled.join(F.broadcast(w), "label")
+    return labelled.join(broadcast_if_small(w), "label")
 
 
 @dataclass

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabseg.functions.encode import Preprocessor
+from tabseg.functions.encode import Preprocessor, category_codes
+from tabseg.functions.profile import kind_of
+from tabseg.operators.embed import phi
 from tabseg.operators.importance import shuffle_column
-from tabseg.session import hash32, materialise, uniform
+from tabseg.session import broadcast_if_small, forget, hash32, materialise, uniform
 
 
 def synthetic(df: DataFrame, id_col: str, numeric: list[str], categorical: list[str], kind: str = "permute_marginals", seed: int = 42) -> DataFrame:
@@ -18,14 +20,20 @@ def synthetic(df: DataFrame, id_col: str, numeric: list[str], categorical: list[
     x = df.select(id_col, *numeric, *categorical)
     if kind == "permute_marginals":
         for c in [*numeric, *categorical]:
-            x = materialise(shuffle_column(x, id_col, c, f"{seed}:{c}"))
+            y = materialise(shuffle_column(x, id_col, c, f"{seed}:{c}"))
+            forget(x)
+            x = y
         return x
     r = x.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(numeric) for k, f in (("a", F.min), ("b", F.max))]).first() if numeric else {}
     cols: list[Column] = [(F.lit(r[f"a{i}"]) + uniform(F.col(id_col), f"{seed}:{c}") * F.lit((r[f"b{i}"] or 0) - (r[f"a{i}"] or 0))).alias(c) for i, c in enumerate(numeric)]
-    for c in categorical:
-        values = [v[0] for v in x.where(F.col(c).isNotNull()).select(F.col(c).cast("string")).distinct().orderBy(c).limit(100_000).collect()] or [None]
-        cols.append(F.get(F.array(*[F.lit(v) for v in values]), F.floor(uniform(F.col(id_col), f"{seed}:{c}") * len(values)).cast("int")).alias(c))
-    return x.select(id_col, *cols)
+    out = x.select(id_col, *cols, *[uniform(F.col(id_col), f"{seed}:{c}").alias(f"__u{i}") for i, c in enumerate(categorical)])
+    for i, c in enumerate(categorical):
+        # the drawn value is looked up by its number in the table of values, of which there may be any number
+        codes = category_codes(x, c)
+        n = codes.count()
+        at = codes.select(F.col("code").cast("bigint").alias("__code"), F.col("value").alias(c))
+        out = out.withColumn("__code", F.floor(F.col(f"__u{i}") * n).cast("bigint")).join(broadcast_if_small(at), "__code", "left").drop("__code", f"__u{i}")
+    return out.select(id_col, *numeric, *categorical)
 
 
 @dataclass
@@ -99,7 +107,7 @@ class ExtraTrees:
             long = at.select("y", "t", "node", "x", feature.alias("i")).select("y", "t", "node", "i", F.get("x", F.col("i")).alias("v"))
             span = long.groupBy("t", "node", "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") >= 2 * self.min_leaf))
             cut = materialise(span.select("t", "node", "i", (F.col("lo") + uniform(F.concat_ws(":", "t", "node", "i"), f"cut:{self.seed}") * (F.col("hi") - F.col("lo"))).alias("cut")))
-            side = long.join(F.broadcast(cut), ["t", "node", "i"]).groupBy("t", "node", "i", "cut").agg(
+            side = long.join(broadcast_if_small(cut), ["t", "node", "i"]).groupBy("t", "node", "i", "cut").agg(
                 F.count_if(F.col("v") <= F.col("cut")).alias("nl"), F.count_if(F.col("v") > F.col("cut")).alias("nr"),
                 F.sum(F.when(F.col("v") <= F.col("cut"), F.col("y")).otherwise(0.0)).alias("yl"), F.sum(F.when(F.col("v") > F.col("cut"), F.col("y")).otherwise(0.0)).alias("yr"),
             ).where((F.col("nl") >= self.min_leaf) & (F.col("nr") >= self.min_leaf))
@@ -110,6 +118,7 @@ class ExtraTrees:
             left = gini(F.col("yl"), F.col("nl")) + gini(F.col("yr"), F.col("nr"))
             w = Window.partitionBy("t", "node").orderBy("left", "i")
             best = side.withColumn("left", left).withColumn("r", F.row_number().over(w)).where("r = 1").select("t", "node", "i", "cut").collect()
+            forget(cut)
             if not best:
                 break
             self.splits |= {(r["t"], r["node"]): (r["i"], r["cut"]) for r in best}
@@ -127,3 +136,47 @@ class ExtraTrees:
     def leaves(self, df: DataFrame, id_col: str) -> DataFrame:
         x = df.select(id_col, F.array(*self.prep.columns()).alias("__x"))
         return x.select(id_col, F.array(*[self._node(t, "__x") for t in range(self.trees)]).alias("cells"))
+
+
+@dataclass
+class ForestClusters:
+    """Clusters by the proximity of leaves: a forest tells real from synthetic rows, and rows that share many leaves form clusters.
+
+    forest: 'random' or 'extra'. clusterer: 'kmeans' (on one-hot leaves), 'agglomerative' (average linkage of 1 - proximity) or a graph shortcut
+    such as 'louvain:k=15'. Numeric columns are those with a numeric type, whatever their number of values.
+    """
+
+    forest: str = "random"
+    n_clusters: int | None = None
+    clusterer: str = "agglomerative"
+    trees: int = 30
+    depth: int = 10
+    min_leaf: int = 5
+    kind: str = "permute_marginals"
+    seed: int = 42
+
+    def fit(self, df: DataFrame, id_col: str, columns: list[str] | None = None) -> ForestClusters:
+        from tabseg.operators import community, segment
+
+        cols = columns or [c for c in df.columns if c != id_col]
+        numeric = [c for c in cols if kind_of(df.schema[c].dataType) in ("int", "float")]
+        of = RandomForestLeaves if self.forest == "random" else ExtraTrees
+        self.model = of(numeric, [c for c in cols if c not in numeric], self.trees, self.depth, self.min_leaf, self.kind, self.seed).fit(df, id_col)
+        self.id_col, self.leaves_ = id_col, materialise(self.model.leaves(df, id_col))
+        if self.clusterer == "kmeans":
+            labels = segment.kmeans_cells(self.leaves_, id_col, self.n_clusters or 3, None, self.seed)[0]
+        elif self.clusterer == "agglomerative":
+            labels = segment.agglomerate(self.leaves_, id_col, self.n_clusters or 3)
+        else:
+            labels = community.graph_clusters(self.leaves_, id_col, seed=self.seed, **community.parse_graph(self.clusterer))
+        self.labels_ = materialise(labels)
+        return self
+
+    def proximities(self) -> DataFrame:
+        from tabseg.operators import pairs
+
+        return pairs.proximity(self.leaves_, self.id_col)
+
+    def features(self) -> DataFrame:
+        """One-hot leaves (id, features), the space in which model search scores these clusters."""
+        return phi(self.leaves_, self.id_col, None)

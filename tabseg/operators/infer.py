@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabseg.operators import metrics
-from tabseg.session import hash32, materialise, positions
+from tabseg.session import broadcast_if_small, hash32, materialise, poisson, positions
 
 
 def ari_effect(x: Column) -> Column:
@@ -39,11 +39,17 @@ def permuted_ari(df: DataFrame, id_col: str, a: str, b: str, rounds: int, seed:
     """
     x = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(id_col).alias("id"), F.col(a).alias("a"), F.col(b).alias("b"))
     x = materialise(x)
-    counts = x.groupBy("b").agg(F.count("*").alias("n"))
-    spans = counts.select("b", (F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("from"), F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, 0)).alias("to"))
+    # the rows in order of b, numbered: what stands at a position of the hash order gets the b at the same position
+    number = F.row_number().over(Window.orderBy("b"))
+    codes = materialise(x.groupBy("b").agg(F.count("*").alias("n")).withColumn("code", number))
+    order = codes.withColumn("to", F.sum("n").over(Window.orderBy("code").rowsBetween(Window.unboundedPreceding, 0)))
+    # spans of b are joined by blocks of positions, of which each span lists those that it reaches
+    total = x.count()
+    step = max(total // 1024, 1)
+    spans = order.select("b", (F.col("to") - F.col("n")).alias("from"), "to").withColumn("block", F.explode(F.sequence(F.floor(F.col("from") / step), F.floor((F.col("to") - 1) / step))))
     each = x.select("id", "a", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    placed = positions(each.withColumn("h", hash32(F.concat_ws(":", "id", "round"), f"perm:{seed}")), ["round"], "h", "id")
-    dealt = placed.join(F.broadcast(spans), (F.col("position") >= F.col("from")) & (F.col("position") < F.col("to"))).select("round", "a", "b")
+    placed = positions(each.withColumn("h", hash32(F.concat_ws(":", "id", "round"), f"perm:{seed}")), ["round"], "h", "id").withColumn("block", F.floor(F.col("position") / step))
+    dealt = placed.join(broadcast_if_small(spans), "block").where((F.col("position") >= F.col("from")) & (F.col("position") < F.col("to"))).select("round", "a", "b")
     table = dealt.groupBy("round", "a", "b").agg(F.count("*").alias("n"))
     real = x.groupBy("a", "b").agg(F.count("*").alias("n")).select(F.lit(0).alias("round"), "a", "b", "n")
     return metrics.ari(real.unionByName(table), ["round"]).select("round", "ari")
@@ -76,19 +82,15 @@ def bootstrap_ari(df: DataFrame, id_col: str, truth: str, label: str, rounds: in
     if refit is not None:
         values = []
         for r in range(rounds):
-            part = df.sample(True, 1.0, seed + r).withColumn("__row", F.monotonically_increasing_id())
-            got = refit(part.drop("__row")).select("id", F.col("label").alias("__label")).dropDuplicates(["id"])
+            # a row that is drawn n times enters n times
+            part = df.withColumn("__times", poisson(F.col(id_col), f"boot:{seed}:{r}")).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).drop("__times", "__copy")
+            got = refit(part).select("id", F.col("label").alias("__label")).dropDuplicates(["id"])
             values.append(metrics.ari(metrics.contingency(part.join(got, part[id_col] == got["id"]), truth, "__label")).first()["ari"])
         null, observed = np.array(values), metrics.ari(metrics.contingency(df, truth, label)).first()["ari"]
     else:
         x = df.select(F.col(id_col).alias("id"), F.col(truth).alias("a"), F.col(label).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
         each = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(rounds))).alias("round"))
-        u = (hash32(F.concat_ws(":", "id", "round"), f"boot:{seed}") + 0.5) / 4294967296.0
-        count, at, total = F.lit(0), np.exp(-1.0), 0.0
-        for k in range(8):
-            total += at
-            count = count + (u >= total).cast("int")
-            at /= k + 1
+        count = poisson(F.concat_ws(":", "id", "round"), f"boot:{seed}")
         n = F.when(F.col("round") == 0, 1).otherwise(count)
         table = each.withColumn("n", n).groupBy("round", "a", "b").agg(F.sum("n").alias("n")).where("n > 0")
         rows = {r["round"]: r["ari"] for r in metrics.ari(table, ["round"]).collect()}
@@ -104,12 +106,7 @@ def cluster_significance(silhouettes: DataFrame, rounds: int = 200, correction:
     silhouettes: id, label, silhouette. Poisson bootstrap: one aggregation over rows x rounds, n stays per cluster.
     """
     each = silhouettes.select("id", "label", "silhouette", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    u = (hash32(F.concat_ws(":", "id", "round"), f"sig:{seed}") + 0.5) / 4294967296.0
-    count, at, total = F.lit(0), np.exp(-1.0), 0.0
-    for k in range(8):
-        total += at
-        count = count + (u >= total).cast("int")
-        at /= k + 1
+    count = poisson(F.concat_ws(":", "id", "round"), f"sig:{seed}")
     means = each.groupBy("label", "round").agg((F.sum(count * F.col("silhouette")) / F.sum(count)).alias("m"))
     p = means.groupBy("label").agg(((1 + F.count_if(F.coalesce("m", F.lit(0.0)) <= 0)) / (rounds + 1)).alias("p"))
     per = silhouettes.groupBy("label").agg(F.count("*").alias("n"), F.avg("silhouette").alias("mean")).join(p, "label")

@@ -1,12 +1,14 @@
-"""Distances between rows in cells, and neighbour graphs. Nothing here makes all pairs of a large table by accident.
+"""Distances between rows in cells, and neighbour graphs.
 
-All-pairs operators take `max_pairs` and refuse beyond it, but knn and lsh_knn, which go on block by block. The mean similarity of rows to clusters needs no pairs
-at all: it follows from how often each cell occurs in each cluster.
+What has to compare all rows with all rows does so block by block: rows are dealt into blocks by a hash of their
+id, each pair of blocks is one task, and only what is asked for leaves it. There is no cross join and no limit on
+rows; the time grows with the square. The mean similarity of rows to clusters needs no pairs at all: it follows
+from how often each cell occurs in each cluster.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -14,11 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabseg.session import broadcast_if_small
+from tabseg.session import broadcast_if_small, materialise
 
-MAX_PAIRS = 20_000_000
-#: Rows of a block when many rows are compared block by block.
-BLOCK_ROWS = 2048
+#: Most and fewest rows of a block when all rows are compared block by block.
+BLOCK_ROWS, LEAST_BLOCK = 2048, 64
 #: Band widths that are tried.
 BANDS = (2, 3, 4, 6, 8, 10, 12, 16, 20, 24, 32)
 
@@ -42,43 +43,150 @@ def check_weights(weights, length: int) -> list[float]:
     return w.tolist()
 
 
-def _guard(n: int, m: int, max_pairs: int) -> None:
-    if n * m > max_pairs:
-        raise ValueError(f"{n * m} pairs exceed max_pairs={max_pairs}; use lsh_knn, mean_similarity or prototypes")
+def usable_weights(weights, length: int) -> list[float]:
+    """As check_weights, but weights that are all zero, not finite or of another length become uniform ones (the lenient form)."""
+    try:
+        return check_weights(weights, length)
+    except ValueError:
+        return [1.0] * length
 
 
-def hamming_pairs(cells: DataFrame, id_col: str, weights: list[float] | None = None, max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """(i, j, dist) of all pairs i < j of a small table: share (or weight share) of differing cells."""
-    n = cells.count()
-    _guard(n, n, max_pairs)
-    length = cells.select(F.size("cells")).first()
-    total = float(np.sum(weights)) if weights is not None else float(length[0] if length else 1)
-    a = cells.select(F.col(id_col).alias("i"), F.col("cells").alias("a"))
-    b = F.broadcast(cells.select(F.col(id_col).alias("j"), F.col("cells").alias("b")))
-    return a.join(b, F.col("i") < F.col("j")).select("i", "j", (mismatches("a", "b", weights) / F.lit(total)).alias("dist"))
-
-
-def cross_hamming(x: DataFrame, y: DataFrame, x_id: str, y_id: str, weights: list[float] | None = None, max_pairs: int = MAX_PAIRS) -> DataFrame:
-    """(i, j, dist) of every row of x with every row of the small table y."""
-    m = y.count()
-    _guard(x.count(), m, max_pairs)
-    length = y.select(F.size("cells")).first()
-    total = float(np.sum(weights)) if weights is not None else float(length[0] if length else 1)
-    a = x.select(F.col(x_id).alias("i"), F.col("cells").alias("a"))
-    b = F.broadcast(y.select(F.col(y_id).alias("j"), F.col("cells").alias("b")))
-    return a.join(b, F.lit(True)).select("i", "j", (mismatches("a", "b", weights) / F.lit(total)).alias("dist"))
-
-
-def proximity(leaves: DataFrame, id_col: str, max_pairs: int = MAX_PAIRS) -> DataFrame:
+def parts_of(n: int, block: int = BLOCK_ROWS) -> int:
+    """Blocks for n rows: at least four once blocks are not tiny, so that several tasks share a small table."""
+    return max(-(-n // min(block, max(-(-n // 4), LEAST_BLOCK))), 1) if n else 1
+
+
+Kernel = Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame]
+
+
+def by_blocks(x: DataFrame, y: DataFrame, parts_x: Column, parts_y: Column, by: list[str], kernel: Kernel, schema: str) -> DataFrame:
+    """kernel(rows of x, rows of y, False) for every pair of a block of x with a block of y. x and y have the same columns, among them id and by."""
+    cols = [c for c in x.columns if c not in by]
+    mine = F.pmod(F.xxhash64("id"), parts_x)
+    left = x.select(*by, mine.alias("__s"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts_y.cast("bigint") - 1)).alias("__t"), *cols, F.lit(True).alias("__left"))
+    theirs = F.pmod(F.xxhash64("id"), parts_y)
+    right = y.select(*by, F.explode(F.sequence(F.lit(0).cast("bigint"), parts_x.cast("bigint") - 1)).alias("__s"), theirs.alias("__t"), *cols, F.lit(False).alias("__left"))
+    empty = [f.split()[0] for f in schema.split(", ")]
+
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        a, b = both[both["__left"]], both[~both["__left"]]
+        return kernel(a, b, False) if len(a) and len(b) else pd.DataFrame(columns=empty)
+
+    return left.unionByName(right).groupBy(*by, "__s", "__t").applyInPandas(run, schema)
+
+
+def within_blocks(x: DataFrame, parts: Column, by: list[str], kernel: Kernel, schema: str) -> DataFrame:
+    """kernel(rows, other rows, same block?) for every unordered pair of blocks of x, a block with itself among them."""
+    cols = [c for c in x.columns if c not in by]
+    own = F.pmod(F.xxhash64("id"), parts).cast("bigint")
+    one = x.select(*by, own.alias("__own"), F.explode(F.sequence(F.lit(0).cast("bigint"), parts.cast("bigint") - 1)).alias("__other"), *cols)
+    one = one.select(*by, F.least("__own", "__other").alias("__s"), F.greatest("__own", "__other").alias("__t"), "__own", *cols)
+    empty = [f.split()[0] for f in schema.split(", ")]
+
+    def run(both: pd.DataFrame) -> pd.DataFrame:
+        first = both["__own"] == both["__s"]
+        if (both["__s"].iloc[0] == both["__t"].iloc[0]):
+            return kernel(both, both, True)
+        a, b = both[first], both[~first]
+        return kernel(a, b, False) if len(a) and len(b) else pd.DataFrame(columns=empty)
+
+    return one.groupBy(*by, "__s", "__t").applyInPandas(run, schema)
+
+
+def _codes(x: pd.DataFrame) -> np.ndarray:
+    return np.stack(x["cells"].to_numpy()).astype(np.int64, copy=False)
+
+
+def _apart(a: np.ndarray, b: np.ndarray, weights: list[float] | None) -> np.ndarray:
+    """Mismatches (or their weight) of every row of a with every row of b."""
+    out = np.zeros((len(a), len(b)), np.int32 if weights is None else np.float64)
+    for c in range(a.shape[1]):
+        out += (a[:, c, None] != b[None, :, c]) * (1 if weights is None else weights[c])
+    return out
+
+
+def _total(cells: DataFrame, weights: list[float] | None) -> tuple[int, float]:
+    r = cells.agg(F.count("*").alias("n"), F.max(F.size("cells")).alias("l")).first()
+    return r["n"], float(np.sum(weights)) if weights is not None else float(r["l"] or 1)
+
+
+def hamming_pairs(cells: DataFrame, id_col: str, weights: list[float] | None = None, within: float | None = None, block: int = BLOCK_ROWS) -> DataFrame:
+    """(i, j, dist) of all pairs i < j: share (or weight share) of differing cells; with `within` only pairs at most so far apart.
+
+    Repeated ids are no pair with themselves. The result of the plain form is quadratic: it is the operator's purpose.
+    """
+    n, total = _total(cells, weights)
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        ia, ib, xa, xb = a["id"].to_numpy(), b["id"].to_numpy(), _codes(a), _codes(b)
+        out = []
+        for lo in range(0, len(ia), 256):
+            d = _apart(xa[lo : lo + 256], xb, weights) / total
+            use = ia[lo : lo + 256, None] < ib[None] if same else ia[lo : lo + 256, None] != ib[None]
+            if within is not None:
+                use &= d <= within
+            p, q = np.nonzero(use)
+            i, j = ia[lo + p], ib[q]
+            out.append(pd.DataFrame({"i": np.minimum(i, j), "j": np.maximum(i, j), "dist": d[p, q]}))
+        return pd.concat(out)
+
+    rows = cells.select(F.col(id_col).cast("bigint").alias("id"), "cells")
+    return within_blocks(rows, F.lit(parts_of(n, block)), [], kernel, "i bigint, j bigint, dist double")
+
+
+def cross_hamming(x: DataFrame, y: DataFrame, x_id: str, y_id: str, weights: list[float] | None = None, block: int = BLOCK_ROWS) -> DataFrame:
+    """(i, j, dist) of every row of x with every row of y."""
+    n, _ = _total(x, weights)
+    m, total = _total(y, weights)
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        d = _apart(_codes(a), _codes(b), weights) / total
+        return pd.DataFrame({"i": np.repeat(a["id"].to_numpy(), len(b)), "j": np.tile(b["id"].to_numpy(), len(a)), "dist": d.ravel()})
+
+    left, right = x.select(F.col(x_id).cast("bigint").alias("id"), "cells"), y.select(F.col(y_id).cast("bigint").alias("id"), "cells")
+    return by_blocks(left, right, F.lit(parts_of(n, block)), F.lit(parts_of(m, block)), [], kernel, "i bigint, j bigint, dist double")
+
+
+def proximity(leaves: DataFrame, id_col: str) -> DataFrame:
     """(i, j, proximity): share of trees in which two rows share a leaf."""
-    return hamming_pairs(leaves, id_col, None, max_pairs).select("i", "j", (1 - F.col("dist")).alias("proximity"))
+    return hamming_pairs(leaves, id_col).select("i", "j", (1 - F.col("dist")).alias("proximity"))
 
 
-def mean_similarity(cells: DataFrame, labels: DataFrame, id_col: str, weights: list[float] | None = None) -> DataFrame:
-    """(id, own, cluster, size, similarity): mean similarity of each row to the rows of each cluster, itself included.
+def cross_proximity(x: DataFrame, y: DataFrame, x_id: str, y_id: str) -> DataFrame:
+    return cross_hamming(x, y, x_id, y_id).select("i", "j", (1 - F.col("dist")).alias("proximity"))
+
+
+def label_proximity(labels: DataFrame) -> DataFrame:
+    """(i, j) of the pairs i < j in one segment, whose proximity under a single tree is 1 (that of all other pairs is 0). labels: id, label."""
+    cells = labels.select(F.col("id").alias("id"), F.array(F.col("label").cast("bigint")).alias("cells"))
+    return hamming_pairs(cells, "id", within=0.0).select("i", "j")
+
+
+def pack_bits(cells: DataFrame, id_col: str) -> DataFrame:
+    """(id, words array<bigint>): cells of 0 and 1 packed 63 to a word, for `bit_mismatches`."""
+    word = lambda w: F.aggregate(F.slice("cells", w * 63 + 1, F.lit(63)), F.lit(0).cast("bigint"), lambda s, x: F.shiftleft(s, 1).bitwiseOR(x.cast("bigint")))
+    words = F.transform(F.sequence(F.lit(0), F.floor((F.size("cells") - 1) / 63).cast("int")), word)
+    return cells.select(F.col(id_col).alias("id"), F.when(F.size("cells") > 0, words).otherwise(F.array().cast("array<bigint>")).alias("words"))
+
+
+def bit_mismatches(a: Column | str, b: Column | str) -> Column:
+    """Number of differing bits of two packed rows: the popcount of their exclusive or."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def compact_codes(cells: DataFrame, id_col: str) -> DataFrame:
+    """(id, l, code): cells renumbered 0.. per iteration in order of value; the numbering runs over distinct cells."""
+    long = cells.select(F.col(id_col).alias("id"), F.posexplode("cells").alias("l", "cell"))
+    code = long.groupBy("l", "cell").agg(F.lit(1).alias("x")).select("l", "cell", (F.row_number().over(Window.partitionBy("l").orderBy("cell")) - 1).alias("code"))
+    return long.join(broadcast_if_small(code), ["l", "cell"]).select("id", "l", "code")
+
+
+def overlaps(cells: DataFrame, labels: DataFrame, id_col: str, weights: list[float] | None = None) -> DataFrame:
+    """(id, own, cluster, size, similarity): mean similarity of each row to the rows of each cluster, itself included, where it is above 0.
 
     labels: id, label. sim(i, C) = sum over l of w_l x count of the row's cell in C / |C|: one histogram and one
-    equi-join on (l, cell), no pairs. Hot cells are spread over their rows, the histogram is the small side.
+    equi-join on (l, cell), no pairs. The own cluster is always among them unless all weights of the row's cells are 0.
     """
     rows = cells.select(F.col(id_col).alias("id"), "cells").join(labels.select(F.col(id_col).alias("id"), F.col("label").alias("own")), "id")
     long = rows.select("id", "own", F.posexplode("cells").alias("l", "cell"))
@@ -88,77 +196,79 @@ def mean_similarity(cells: DataFrame, labels: DataFrame, id_col: str, weights: l
     sizes = labels.groupBy(F.col("label").alias("cluster")).agg(F.count("*").alias("size"))
     hist = long.groupBy("l", "cell", F.col("own").alias("cluster")).agg(F.count("*").alias("n"))
     at = F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.col("l") + 1)
-    share = hist.join(broadcast_if_small(sizes), "cluster").select("l", "cell", "cluster", (at * F.col("n") / F.col("size")).alias("part"))
-    sums = long.join(broadcast_if_small(share), ["l", "cell"]).groupBy("id", "own", "cluster").agg(F.sum("part").alias("similarity"))
-    every = rows.select("id", "own").join(F.broadcast(sizes), F.lit(True))  # a row and the (few) clusters
-    return every.join(sums, ["id", "own", "cluster"], "left").select("id", "own", "cluster", "size", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    share = hist.join(broadcast_if_small(sizes), "cluster").select("l", "cell", "cluster", "size", (at * F.col("n") / F.col("size")).alias("part"))
+    return long.join(broadcast_if_small(share), ["l", "cell"]).groupBy("id", "own", "cluster", "size").agg(F.sum("part").alias("similarity")).select("id", "own", "cluster", "size", "similarity")
 
 
-def knn(cells: DataFrame, id_col: str, k: int, max_pairs: int = 400_000_000) -> DataFrame:
-    """(src, dst, dist): exact k nearest rows by number of differing cells; equal distances by smaller id.
+def mean_similarity(cells: DataFrame, labels: DataFrame, id_col: str, weights: list[float] | None = None) -> DataFrame:
+    """As `overlaps`, for every row and every cluster, with 0 where nothing overlaps: rows x clusters rows by definition.
 
-    Up to max_pairs the codes of all rows are sent to the tasks as one array, and blocks of rows are compared with it;
-    beyond, every block is compared with every block. Both give the same rows, in time that grows with the square.
+    What only needs sums or extremes over the clusters (silhouettes, affinities, blocks) goes by `overlaps`.
     """
+    some = overlaps(cells, labels, id_col, weights)
+    every = labels.groupBy("label").agg(F.count("*").alias("size")).agg(F.collect_list(F.struct(F.col("label").alias("cluster"), "size")).alias("all"))
+    held = some.groupBy("id", "own").agg(F.map_from_entries(F.collect_list(F.struct("cluster", "similarity"))).alias("held"))
+    wide = held.crossJoin(F.broadcast(every)).select("id", "own", "held", F.explode("all").alias("c"))  # one row of all clusters
+    return wide.select("id", "own", "c.cluster", "c.size", F.coalesce(F.element_at("held", F.col("c.cluster")), F.lit(0.0)).alias("similarity"))
+
+
+def block_means(cells: DataFrame, labels: DataFrame, id_col: str, weights: list[float] | None = None) -> DataFrame:
+    """(own, cluster, similarity): mean similarity between the rows of two clusters; within a cluster without the rows themselves (null for one row)."""
+    some = overlaps(cells, labels, id_col, weights).groupBy("own", "cluster").agg(F.sum("similarity").alias("s"), F.max("size").alias("size"))
+    sizes = labels.groupBy(F.col("label").alias("own")).agg(F.count("*").alias("rows"))
+    every = sizes.select("own", "rows").crossJoin(F.broadcast(sizes.agg(F.collect_list("own").alias("all")))).select("own", "rows", F.explode("all").alias("cluster"))
+    x = every.join(some, ["own", "cluster"], "left")
+    mean = F.coalesce(F.col("s"), F.lit(0.0)) / F.col("rows")
+    return x.select("own", "cluster", F.when(F.col("own") != F.col("cluster"), mean).when(F.col("rows") > 1, (mean * F.col("rows") - 1) / (F.col("rows") - 1)).alias("similarity"))
+
+
+def knn(cells: DataFrame, id_col: str, k: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """(src, dst, dist): exact k nearest rows by number of differing cells; equal distances by smaller id. Every block is compared with every block."""
     n = cells.count()
-    if n * n > max_pairs:
-        whole = cells.select(F.lit(0).alias("band"), F.lit("").alias("key"), F.lit(n).alias("n"), F.col(id_col).alias("id"), "cells")
-        return top_k(_all_blocks(whole, k, BLOCK_ROWS), k)
-    local = cells.select(F.col(id_col).alias("id"), "cells").toPandas()
-    ids = local["id"].to_numpy(np.int64)
-    order = np.argsort(ids, kind="stable")
-    codes = np.array(local["cells"].tolist(), np.int64)[order] if n else np.zeros((0, 1), np.int64)
-    ids = ids[order]
-    sent = cells.sparkSession.sparkContext.broadcast((ids, codes))
-    top = min(k, max(n - 1, 0))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        all_ids, all_codes = sent.value
-        for b in batches:
-            for lo in range(0, len(b), 64):
-                part = b.iloc[lo : lo + 64]
-                x = np.array(part["cells"].tolist(), np.int64)
-                dist = np.zeros((len(x), len(all_codes)), np.int32)
-                for c in range(x.shape[1]):
-                    dist += x[:, c, None] != all_codes[None, :, c]
-                own = part["id"].to_numpy(np.int64)
-                dist[np.arange(len(x)), np.searchsorted(all_ids, own)] = np.iinfo(np.int32).max
-                best = np.argsort(dist, axis=1, kind="stable")[:, :top]
-                yield pd.DataFrame({"src": np.repeat(own, top), "dst": all_ids[best].ravel(), "dist": np.take_along_axis(dist, best, 1).ravel()})
-
-    return cells.select(F.col(id_col).alias("id"), "cells").mapInPandas(run, "src bigint, dst bigint, dist int")
-
-
-def _all_blocks(rows: DataFrame, k: int, block: int) -> DataFrame:
-    """(src, dst, dist) with the k nearest of each row in each block of its bucket. rows: band, key, n (rows of the bucket), id, cells.
-
-    A bucket is dealt into blocks by a hash of the id, and each pair of blocks is one group: no task holds more than two blocks.
-    """
-    parts = F.ceil(F.col("n") / block)
-    own, every = F.pmod(F.xxhash64("id"), parts), F.sequence(F.lit(0).cast("bigint"), parts - 1)
-    left = rows.select("band", "key", own.alias("s"), F.explode(every).alias("t"), F.col("id").cast("bigint").alias("id"), "cells", F.lit(True).alias("left"))
-    right = rows.select("band", "key", F.explode(every).alias("s"), own.alias("t"), F.col("id").cast("bigint").alias("id"), "cells", F.lit(False).alias("left"))
+    rows = cells.select(F.col(id_col).cast("bigint").alias("id"), "cells")
+    return top_k(within_blocks(rows, F.lit(parts_of(n, block)), [], _nearest(k), "src bigint, dst bigint, dist int"), k)
 
-    def run(both: pd.DataFrame) -> pd.DataFrame:
-        a, b = both[both["left"]], both[~both["left"]]
-        out = [pd.DataFrame({"src": np.zeros(0, np.int64), "dst": np.zeros(0, np.int64), "dist": np.zeros(0, np.int32)})]
-        if len(a) and len(b):
-            b = b.sort_values("id")
-            ids, codes = b["id"].to_numpy(np.int64), np.array(b["cells"].tolist(), np.int64)
-            for lo in range(0, len(a), 256):
-                src = a["id"].to_numpy(np.int64)[lo : lo + 256]
-                x = np.array(a["cells"].iloc[lo : lo + 256].tolist(), np.int64)
-                dist = np.zeros((len(x), len(ids)), np.int32)
-                for c in range(x.shape[1]):
-                    dist += x[:, c, None] != codes[None, :, c]
-                dist[src[:, None] == ids[None, :]] = np.iinfo(np.int32).max
-                best = np.argsort(dist, axis=1, kind="stable")[:, :k]
-                near = np.take_along_axis(dist, best, 1).ravel()
-                other = near < np.iinfo(np.int32).max
-                out.append(pd.DataFrame({"src": np.repeat(src, best.shape[1])[other], "dst": ids[best].ravel()[other], "dist": near[other]}))
+
+def nearest_other(x: DataFrame, y: DataFrame, x_id: str, y_id: str, block: int = BLOCK_ROWS) -> DataFrame:
+    """(id, other, dist): for every row of x the row of y with the fewest differing cells (equal ones: the smallest id), block by block."""
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        b = b.sort_values("id", kind="stable")
+        ia, ib, xa, xb = a["id"].to_numpy(), b["id"].to_numpy(), _codes(a), _codes(b)
+        out = []
+        for lo in range(0, len(ia), 256):
+            d = _apart(xa[lo : lo + 256], xb, None)
+            at = d.argmin(1)
+            out.append(pd.DataFrame({"id": ia[lo : lo + 256], "other": ib[at], "dist": d[np.arange(len(at)), at]}))
         return pd.concat(out)
 
-    return left.unionByName(right).groupBy("band", "key", "s", "t").applyInPandas(run, "src bigint, dst bigint, dist int")
+    left, right = x.select(F.col(x_id).cast("bigint").alias("id"), "cells"), y.select(F.col(y_id).cast("bigint").alias("id"), "cells")
+    got = by_blocks(left, right, F.lit(parts_of(x.count(), block)), F.lit(parts_of(y.count(), block)), [], kernel, "id bigint, other bigint, dist int")
+    return got.groupBy("id").agg(F.min(F.struct("dist", "other")).alias("m")).select("id", "m.other", "m.dist")
+
+
+def _nearest(k: int) -> Kernel:
+    """The k nearest in the other block of every row of either block."""
+
+    def one(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> list[pd.DataFrame]:
+        order = np.argsort(others, kind="stable")
+        others, y = others[order], y[order]
+        out = []
+        for lo in range(0, len(ids), 256):
+            src = ids[lo : lo + 256]
+            dist = _apart(x[lo : lo + 256], y, None)
+            dist[src[:, None] == others[None, :]] = np.iinfo(np.int32).max
+            best = np.argsort(dist, axis=1, kind="stable")[:, :k]
+            near = np.take_along_axis(dist, best, 1).ravel()
+            other = near < np.iinfo(np.int32).max
+            out.append(pd.DataFrame({"src": np.repeat(src, best.shape[1])[other], "dst": others[best].ravel()[other], "dist": near[other]}))
+        return out
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame, same: bool) -> pd.DataFrame:
+        ia, ib, xa, xb = a["id"].to_numpy(), b["id"].to_numpy(), _codes(a), _codes(b)
+        return pd.concat(one(ia, xa, ib, xb) + ([] if same else one(ib, xb, ia, xa)))
+
+    return kernel
 
 
 def bands(cells: DataFrame, id_col: str, width: int) -> DataFrame:
@@ -177,20 +287,16 @@ def bucket_loads(cells: DataFrame, id_col: str, length: int, widths: tuple[int,
     return out
 
 
-def choose_band(cells: DataFrame, id_col: str, length: int, k: int, sample: int = 4096) -> int:
-    """The narrowest width whose load and coverage suit k neighbours, on a bounded sample scaled to all rows."""
-    n = cells.count()
-    some = cells.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(1e6 * min(1.0, sample / max(n, 1))) + 1)
-    scale = max(n / max(some.count(), 1), 1.0)
-    rows = bucket_loads(some, id_col, length).collect()
+def choose_band(cells: DataFrame, id_col: str, length: int, k: int) -> int:
+    """The narrowest width whose load and coverage suit k neighbours (load at most 8k, coverage at least 0.7), else the best compromise. Counted over all rows."""
+    rows = bucket_loads(cells, id_col, length).collect()  # one row per width
     best, score = min(BANDS[-1], length), -np.inf
     for r in sorted(rows, key=lambda r: r["width"]):
         if r["load"] is None:
             continue
-        load = r["load"] * scale
-        if load <= 8 * k and r["coverage"] >= 0.7:
+        if r["load"] <= 8 * k and r["coverage"] >= 0.7:
             return r["width"]
-        s = min(r["coverage"], 8 * k / max(load, 1e-9))
+        s = min(r["coverage"], 8 * k / max(r["load"], 1e-9))
         if s > score:
             best, score = r["width"], s
     return best
@@ -203,16 +309,30 @@ def lsh_knn(cells: DataFrame, id_col: str, k: int, width: int, max_bucket: int =
     takes time by its square, and no row of it is left out. Rows that share no band are never compared; use knn for those.
     """
     b = bands(cells, id_col, width)
-    size = b.groupBy("band", "key").agg(F.count("*").alias("n"))
-    sized = b.join(size, ["band", "key"])
-    small = sized.where(F.col("n") <= max_bucket).select("band", "key", "id", "cells")
+    size = b.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    sized = b.select(F.col("id").cast("bigint").alias("id"), "cells", "band", "key").join(size, ["band", "key"])
+    small = sized.where(F.col("n") <= max_bucket)
     left = small.select("band", "key", F.col("id").alias("src"), F.col("cells").alias("a"))
     right = small.select("band", "key", F.col("id").alias("dst"), F.col("cells").alias("b"))
     near = left.join(right, ["band", "key"]).where(F.col("src") != F.col("dst")).select("src", "dst", mismatches("a", "b").alias("dist"))
-    big = _all_blocks(sized.where(F.col("n") > max_bucket), k, block)
+    hot = sized.where(F.col("n") > max_bucket)
+    big = within_blocks(hot, F.ceil(F.col("n") / block), ["band", "key"], _nearest(k), "src bigint, dst bigint, dist int")
     return top_k(near.unionByName(big).dropDuplicates(["src", "dst"]), k)
 
 
+def sparse_graph(cells: DataFrame, id_col: str, k: int, banding: bool = False) -> DataFrame:
+    """(src, dst, dist) in both directions: exact neighbours, or banded ones with as good a band width as a sample shows.
+
+    Should banding find fewer edges than rows, the exact neighbours are taken instead.
+    """
+    if banding:
+        r = cells.agg(F.count("*").alias("n"), F.max(F.size("cells")).alias("l")).first()
+        near = materialise(lsh_knn(cells, id_col, k, choose_band(cells, id_col, r["l"] or 1, k)))
+        if near.count() >= r["n"]:
+            return symmetrise(near)
+    return symmetrise(knn(cells, id_col, k))
+
+
 def top_k(edges: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("src").orderBy("dist", "dst")
     return edges.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "dist")

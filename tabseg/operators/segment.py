@@ -3,25 +3,26 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabseg.functions import weights as weighting
+from tabseg.functions.encode import Normaliser
 from tabseg.functions.profile import Detection, detect_types
 from tabseg.operators import community, embed, pairs
 from tabseg.plans import spec
-from tabseg.session import materialise
+from tabseg.session import broadcast_if_small, materialise
 
-#: Rows up to which average linkage is computed.
+#: Distinct rows up to which average linkage is computed.
 LINKAGE_ROWS = 5000
 
 
-def kmeans_cells(cells: DataFrame, id_col: str, k: int, weights: np.ndarray, seed: int = 42, weight_col: str | None = None):
+def kmeans_cells(cells: DataFrame, id_col: str, k: int, weights: np.ndarray | None, seed: int = 42, weight_col: str | None = None):
     """(labels (id, label), model): k-means on one-hot cells, whose squared distances are Hamming distances. k <= 1: one cluster."""
     from pyspark.ml.clustering import KMeans
 
@@ -30,7 +31,7 @@ def kmeans_cells(cells: DataFrame, id_col: str, k: int, weights: np.ndarray, see
     k = min(k, x.count())
     if k <= 1:
         return x.select("id", F.lit(0).alias("label")), None
-    model = KMeans(k=k, seed=seed, maxIter=20, featuresCol="features", predictionCol="label", **({"weightCol": weight_col} if weight_col else {})).fit(x)
+    model = KMeans(k=k, seed=seed, maxIter=20, initSteps=5, featuresCol="features", predictionCol="label", **({"weightCol": weight_col} if weight_col else {})).fit(x)
     return model.transform(x).select("id", F.col("label").cast("int").alias("label")), model
 
 
@@ -44,14 +45,14 @@ def kmeans_points(points: DataFrame, cols: list[str], k: int, seed: int = 42):
     return model.transform(x).select("id", F.col("label").cast("int").alias("label")), model
 
 
-def average_linkage(dist: np.ndarray, k: int) -> np.ndarray:
-    """Labels of k clusters by average linkage (nearest-neighbour chain) of a symmetric matrix."""
+def average_linkage(dist: np.ndarray, k: int, rows: np.ndarray | None = None) -> np.ndarray:
+    """Labels of k clusters by average linkage (nearest-neighbour chain) of a symmetric matrix; rows: how many rows each item stands for."""
     n = len(dist)
     if n == 0:
         return np.zeros(0, int)
     d = dist.astype(float).copy()
     np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
+    size, alive = (np.ones(n) if rows is None else rows.astype(float).copy()), np.ones(n, bool)
     merges: list[tuple[float, int, int]] = []
     chain: list[int] = []
     for _ in range(n - 1):
@@ -82,19 +83,45 @@ def average_linkage(dist: np.ndarray, k: int) -> np.ndarray:
 
 
 def agglomerate(cells: DataFrame, id_col: str, k: int = 3, max_rows: int = LINKAGE_ROWS) -> DataFrame:
-    """(id, label): average linkage of the Hamming distances of a bounded table; compress larger ones to prototypes first."""
-    n = cells.count()
-    if n > max_rows:
-        raise ValueError(f"{n} rows exceed max_rows={max_rows}; compress to prototypes first")
-    local = cells.select(F.col(id_col).alias("id"), "cells").orderBy("id").toPandas()
-    codes = np.array(local["cells"].tolist(), np.int64) if n else np.zeros((0, 1), np.int64)
-    dist = np.zeros((n, n), np.float32)
+    """(id, label): average linkage of the Hamming distances. Rows with equal cells merge first, at distance 0, so the matrix has a row per
+    distinct cell array; beyond max_rows of these it raises (compress to prototypes first: `agglomerate_compressed`)."""
+    rows = cells.select(F.col(id_col).cast("bigint").alias("id"), "cells")
+    groups = materialise(rows.groupBy("cells").agg(F.min("id").alias("first"), F.count("*").alias("n")))
+    m = groups.count()
+    if m > max_rows:
+        raise ValueError(f"{m} distinct rows exceed max_rows={max_rows}; use agglomerate_compressed")
+    if k >= m:  # more clusters than distinct rows: copies part by id, as the last merges are undone
+        local = rows.orderBy("id").limit(max_rows + 1).toPandas()
+        if len(local) <= max_rows and k > m:
+            return _link(cells, local, np.ones(len(local)), k)
+    local = groups.select(F.col("first").alias("id"), "cells", "n").orderBy("id").toPandas()
+    labels = _link(cells, local, local["n"].to_numpy(float), k).select(F.col("id").alias("first"), "label")
+    of = rows.join(groups.select("cells", "first"), "cells").select("id", "first")
+    return of.join(broadcast_if_small(labels), "first").select("id", "label")
+
+
+def _link(cells: DataFrame, local: pd.DataFrame, n: np.ndarray, k: int) -> DataFrame:
+    codes = np.array(local["cells"].tolist(), np.int64) if len(local) else np.zeros((0, 1), np.int64)
+    dist = np.zeros((len(local), len(local)), np.float32)
     for c in range(codes.shape[1]):
         dist += codes[:, c, None] != codes[None, :, c]
-    labels = average_linkage(dist / max(codes.shape[1], 1), k)
+    labels = average_linkage(dist / max(codes.shape[1], 1), k, n)
     return cells.sparkSession.createDataFrame([(int(i), int(x)) for i, x in zip(local["id"], labels)], "id bigint, label int")
 
 
+def agglomerate_compressed(cells: DataFrame, id_col: str, k: int = 3, max_rows: int = LINKAGE_ROWS) -> DataFrame:
+    """(id, label): average linkage of the medoids of as many buckets as fit into max_rows, weighted by their rows; all rows get their bucket's label."""
+    from tabseg.operators import compress
+
+    first = cells.select(F.size("cells")).first()
+    depth = compress.choose_depth(cells, first[0] if first else 1, max_rows)
+    protos, assignment = compress.compress(cells, id_col, depth)
+    local = protos.select(F.col("proto").cast("bigint").alias("id"), "cells", "weight").orderBy("id").limit(max_rows + 1).toPandas()
+    if len(local) > max_rows:
+        raise ValueError("more buckets than max_rows even at depth 1; use fewer bins")
+    return compress.expand(assignment, _link(cells, local, local["weight"].to_numpy(float), k))
+
+
 def dbscan(nodes: DataFrame, near: DataFrame, min_samples: int = 5) -> DataFrame:
     """(id, label): near holds all pairs (src, dst) within eps, both directions, without loops; -1 is noise.
 
@@ -113,8 +140,9 @@ def dbscan(nodes: DataFrame, near: DataFrame, min_samples: int = 5) -> DataFrame
     return community.renumber(labels)
 
 
-def hamming_within(cells: DataFrame, id_col: str, eps: float, max_pairs: int = pairs.MAX_PAIRS) -> DataFrame:
-    d = pairs.hamming_pairs(cells, id_col, max_pairs=max_pairs).where(F.col("dist") <= eps)
+def hamming_within(cells: DataFrame, id_col: str, eps: float) -> DataFrame:
+    """(src, dst) in both directions of all pairs at most eps apart; only those leave the tasks that compare blocks of rows."""
+    d = pairs.hamming_pairs(cells, id_col, within=eps)
     return d.select(F.col("i").alias("src"), F.col("j").alias("dst")).unionByName(d.select(F.col("j").alias("src"), F.col("i").alias("dst")))
 
 
@@ -128,40 +156,76 @@ def dbscan_retry(cells: DataFrame, id_col: str, min_samples: int = 5, eps: tuple
     return out
 
 
-def birch(points: DataFrame, cols: list[str], threshold: float, k: int | None = None, most: int = 20_000) -> DataFrame:
+#: Rows of one step of BIRCH: features are looked for all of them at once, and what is near none begins new ones.
+BIRCH_ROWS = 4096
+
+
+class Features:
+    """Clustering features (centre and size) of at most `threshold` radius, in arrays that grow by doubling."""
+
+    def __init__(self, width: int, threshold: float) -> None:
+        self.centres, self.sizes, self.n, self.reach = np.zeros((64, width)), np.zeros(64), 0, threshold
+
+    def add(self, x: np.ndarray, sizes: np.ndarray) -> None:
+        for lo in range(0, len(x), BIRCH_ROWS):
+            y, m = x[lo : lo + BIRCH_ROWS], sizes[lo : lo + BIRCH_ROWS]
+            while len(y):
+                if self.n:
+                    c = self.centres[: self.n]
+                    d = np.maximum((y * y).sum(1)[:, None] - 2 * y @ c.T + (c * c).sum(1), 0)
+                    j = d.argmin(1)
+                    near = d[np.arange(len(y)), j] <= self.reach**2
+                    gain = np.bincount(j[near], m[near], self.n)
+                    held = gain > 0
+                    for i in range(y.shape[1]):
+                        sums = np.bincount(j[near], m[near] * y[near, i], self.n)
+                        c[held, i] += (sums[held] - gain[held] * c[held, i]) / (self.sizes[: self.n][held] + gain[held])
+                    self.sizes[: self.n] += gain
+                    y, m = y[~near], m[~near]
+                if len(y):
+                    # a row begins a feature, with every later row within reach of it; the rest is looked at again
+                    if self.n == len(self.sizes):
+                        self.centres, self.sizes = np.concatenate((self.centres, np.zeros_like(self.centres))), np.concatenate((self.sizes, np.zeros_like(self.sizes)))
+                    taken = ((y - y[0]) ** 2).sum(1) <= self.reach**2
+                    self.sizes[self.n] = m[taken].sum()
+                    self.centres[self.n] = (y[taken] * m[taken, None]).sum(0) / m[taken].sum()
+                    self.n += 1
+                    y, m = y[~taken], m[~taken]
+
+    def condense(self, most: int) -> None:
+        while self.n > most:
+            centres, sizes, self.reach = self.centres[: self.n].copy(), self.sizes[: self.n].copy(), self.reach * 1.5
+            self.n = 0
+            self.add(centres, sizes)
+
+
+def birch(points: DataFrame, cols: list[str], threshold: float, k: int | None = None, most: int = LINKAGE_ROWS) -> DataFrame:
     """(id, label): clustering features of at most `threshold` radius per partition, merged, then (k) average linkage of their centres.
 
-    A partition keeps at most `most` features: beyond, its threshold grows and they are condensed, as in the
-    original algorithm. The driver holds the merged features only.
+    A partition and the merged set keep at most `most` features: beyond, the threshold grows and they are condensed, as in the
+    original algorithm. The driver holds the features only, at most `most` of each partition.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        centres, sizes, reach = np.zeros((0, len(cols))), np.zeros(0), threshold
+        held = Features(len(cols), threshold)
         for b in batches:
-            for x in b[cols].to_numpy(float):
-                if len(centres):
-                    d = ((centres - x) ** 2).sum(1)
-                    j = int(d.argmin())
-                    if d[j] <= reach**2:
-                        sizes[j] += 1
-                        centres[j] += (x - centres[j]) / sizes[j]
-                        continue
-                centres, sizes = np.vstack((centres, x)), np.append(sizes, 1.0)
-                if len(centres) > most:
-                    reach *= 1.5
-                    centres, sizes = _condense(centres, sizes, reach)
-        if len(centres):
-            yield pd.DataFrame({"x": list(centres), "n": sizes})
+            x = b[cols].to_numpy(float)
+            held.add(x, np.ones(len(x)))
+            held.condense(most)
+        if held.n:
+            yield pd.DataFrame({"x": list(held.centres[: held.n]), "n": held.sizes[: held.n]})
 
     got = points.select(*cols).mapInPandas(run, "x array<double>, n double").toPandas()
     x = np.array(got["x"].tolist()).reshape(-1, len(cols))
     order = np.lexsort((*x.T, -got["n"].to_numpy())) if len(x) else np.zeros(0, int)
-    centres, sizes = _condense(x[order], got["n"].to_numpy()[order], threshold)
+    whole = Features(len(cols), threshold)
+    whole.add(x[order], got["n"].to_numpy()[order])
+    whole.condense(most)
+    centres = whole.centres[: whole.n].copy()
     groups = np.arange(len(centres))
     if k is not None and k < len(centres):
-        if len(centres) > LINKAGE_ROWS:
-            raise ValueError("too many features for linkage; raise the threshold")
-        groups = average_linkage(np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(2)), k)
+        d = (centres * centres).sum(1)
+        groups = average_linkage(np.sqrt(np.maximum(d[:, None] + d[None] - 2 * centres @ centres.T, 0)), k, whole.sizes[: whole.n])
     sent = points.sparkSession.sparkContext.broadcast((centres, groups))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,27 +238,14 @@ def birch(points: DataFrame, cols: list[str], threshold: float, k: int | None =
     return points.select("id", *cols).mapInPandas(place, "id bigint, label int")
 
 
-def _condense(centres: np.ndarray, sizes: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
-    out, n = np.zeros((0, centres.shape[1])), np.zeros(0)
-    for x, s in zip(centres, sizes):
-        if len(out):
-            d = ((out - x) ** 2).sum(1)
-            j = int(d.argmin())
-            if d[j] <= reach**2:
-                n[j] += s
-                out[j] += (x - out[j]) * s / n[j]
-                continue
-        out, n = np.vstack((out, x)), np.append(n, s)
-    return out, n
-
-
 @dataclass
 class ForestSegmenter:
     """From a mixed table to segments: types, partitions, cells, weights, clusters.
 
-    clusterer: 'kmeans', 'agglomerative', 'dbscan', or a graph shortcut such as 'louvain:k=20'. Give n_clusters
-    for k-means and linkage only. cluster_input names what the clusterer sees: features (one-hot cells) for k-means,
-    distances for linkage and DBSCAN, neighbours for graphs.
+    clusterer: 'kmeans', 'agglomerative', 'dbscan', 'birch', a graph shortcut such as 'louvain:k=20', or a function of (rows: id, and what
+    cluster_input names) that returns id, label. Give n_clusters for k-means, linkage and BIRCH only.
+    cluster_input: 'auto', 'onehot' (column features), 'embedding' (cells), 'distance' or 'similarity' (pairs i, j and the value). auto: what the
+    clusterer takes; a function gets the cells.
     """
 
     n_iterations: int = 32
@@ -202,11 +253,24 @@ class ForestSegmenter:
     n_bins: int | str = 3
     cut: str = "uniform"
     n_clusters: int | None = None
-    clusterer: str = "kmeans"
+    clusterer: str | Callable[[DataFrame], DataFrame] = "kmeans"
+    cluster_input: str = "auto"
     weighting: str = "uniform"
     temperature: float | None = None
-    correlation_threshold: float | None = None
+    correlation_threshold: float | None = None  # features of a group of correlated columns weigh 1 / its size
+    correlation_aware: bool = False  # an iteration takes at most one column of a group
+    group_threshold: float = 0.7
     adaptive: bool = False
+    low_bins: int = 2
+    high_bins: int = 10
+    contrastive: bool = False
+    dbscan_eps: tuple[float, ...] = (0.3, 0.2, 0.1)
+    missing_indicators: bool = False
+    rare_min_count: int = 1
+    rare_min_share: float = 0.0
+    compute_importance: bool = False
+    importance_repeats: int = 5
+    density_rule: str = "silverman"
     detection: Detection = field(default_factory=Detection)
     seed: int = 42
     kinds: dict[str, str] = field(default_factory=dict)
@@ -215,41 +279,77 @@ class ForestSegmenter:
     model: object = None
 
     def fit(self, df: DataFrame, id_col: str, columns: list[str] | None = None) -> ForestSegmenter:
-        if self.n_clusters is not None and self.clusterer not in ("kmeans", "agglomerative"):
-            raise ValueError("n_clusters goes with kmeans or agglomerative only")
+        if self.n_clusters is not None and self.clusterer not in ("kmeans", "agglomerative", "birch"):
+            raise ValueError("n_clusters goes with kmeans, agglomerative or birch only")
+        if self.cluster_input not in ("auto", "onehot", "embedding", "distance", "similarity"):
+            raise ValueError(f"unknown cluster_input {self.cluster_input!r}")
         cols = columns or [c for c in df.columns if c != id_col]
+        self.columns_ = list(cols)
         self.kinds = self.kinds or detect_types(df, cols, self.detection)
-        bins = spec.bins_per_column(df, self.kinds) if self.adaptive or self.n_bins == "auto" else self.n_bins
+        self.normaliser = None
+        if self.missing_indicators or self.rare_min_count > 1 or self.rare_min_share > 0:
+            self.normaliser = Normaliser(self.kinds, self.missing_indicators, self.rare_min_count, self.rare_min_share).fit(df)
+            df = self.normaliser.transform(df, [id_col])
+            self.used_ = self.normaliser.kinds_out()
+        else:
+            self.used_ = dict(self.kinds)
+        kinds = self.used_
+        bins = spec.bins_per_column(df, kinds, "adaptive", self.low_bins, self.high_bins) if self.adaptive or self.n_bins == "auto" else self.n_bins
         groups = w = None
-        numeric = [c for c in cols if self.kinds[c] == "numerical"]
+        numeric = [c for c in kinds if kinds[c] == "numerical"]
         if self.correlation_threshold is not None and len(numeric) > 1:
-            corr = weighting.pearson(df, numeric)
-            groups = weighting.groups_of(numeric, corr, self.correlation_threshold) + [[c] for c in cols if c not in numeric]
-            w = {c: 1.0 for c in cols} | weighting.group_weights(numeric, corr, self.correlation_threshold)
-        sketch = spec.draw({c: self.kinds[c] for c in cols}, self.n_iterations, self.n_features, bins, self.seed, w, groups, self.cut)
-        self.spec = spec.fit(df, sketch, id_col)
-        self.cells_ = materialise(embed.embed(df, self.spec, [id_col]))
+            w = {c: 1.0 for c in kinds} | weighting.group_weights(numeric, weighting.spearman(df, numeric), self.correlation_threshold)
+        if self.correlation_aware and len(numeric) > 1:
+            groups = weighting.groups_of(numeric, weighting.pearson(df, numeric), self.group_threshold) + [[c] for c in kinds if c not in numeric]
+        self.feature_weights_ = w or {c: 1.0 for c in kinds}
         self.id_col = id_col
+        if self.contrastive:
+            from tabseg.operators import contrast
+
+            self.trees_ = contrast.ContrastiveTrees([c for c in kinds if kinds[c] == "numerical"], [c for c in kinds if kinds[c] != "numerical"], self.n_iterations, seed=self.seed).fit(df, id_col)
+            self.spec = spec.Spec(spec.Sketch([[] for _ in range(self.n_iterations)]))
+            self.cells_ = materialise(self.trees_.transform(df, id_col))
+        else:
+            self.trees_ = None
+            sketch = spec.draw(kinds, self.n_iterations, self.n_features, bins, self.seed, w, groups, self.cut)
+            self.spec = spec.fit(df, sketch, id_col, rule=self.density_rule)
+            self.cells_ = materialise(embed.embed(df, self.spec, [id_col]))
         self.weights = weighting.iteration_weights(embed.long_cells(self.cells_, id_col), self.n_iterations, self.weighting, self.temperature)
         self.labels_ = materialise(self._cluster())
+        if self.compute_importance:
+            self.importance_ = self.importances(df)
         return self
 
     def _cluster(self) -> DataFrame:
-        if self.clusterer == "kmeans":
+        c, given = self.clusterer, self.cluster_input
+        if callable(c):
+            if given == "onehot":
+                return c(materialise(embed.phi(self.cells_, self.id_col, self.weights)))
+            if given in ("distance", "similarity"):
+                return c(self.distances() if given == "distance" else self.similarities())
+            return c(self.cells_.select(F.col(self.id_col).alias("id"), "cells"))
+        if c == "kmeans":
             labels, self.model = kmeans_cells(self.cells_, self.id_col, self.n_clusters or 3, self.weights, self.seed)
             return labels
-        if self.clusterer == "agglomerative":
+        if c == "agglomerative":
             return agglomerate(self.cells_, self.id_col, self.n_clusters or 3)
-        if self.clusterer == "dbscan":
-            return dbscan_retry(self.cells_, self.id_col)
-        return community.graph_clusters(self.cells_, self.id_col, seed=self.seed, **community.parse_graph(self.clusterer))
+        if c == "birch":  # on the rows' two leading directions
+            from tabseg.operators import report
+
+            flat = materialise(report.sparse_plane(self.cells_, self.id_col, self.weights))
+            return birch(flat, ["x", "y"], 0.1, self.n_clusters)
+        if c == "dbscan":
+            return dbscan_retry(self.cells_, self.id_col, eps=self.dbscan_eps)
+        return community.graph_clusters(self.cells_, self.id_col, seed=self.seed, **community.parse_graph(c))
 
     def embed(self, df: DataFrame, id_col: str) -> DataFrame:
         """Cells of new rows under the fitted specification; unknown categories fall into the last bin."""
         missing = [c for c in self.kinds if c not in df.columns]
         if missing:
             raise ValueError(f"missing columns: {missing}")
-        return embed.embed(df, self.spec, [id_col])
+        if self.normaliser is not None:
+            df = self.normaliser.transform(df, [id_col])
+        return self.trees_.transform(df, id_col) if self.trees_ is not None else embed.embed(df, self.spec, [id_col])
 
     def predict(self, df: DataFrame, id_col: str) -> DataFrame:
         """Segments of new rows by mean similarity to the fitted segments' rows: no pairs."""
@@ -258,18 +358,82 @@ class ForestSegmenter:
         size = self.labels_.groupBy("label").agg(F.count("*").alias("size"))
         w = self.weights / self.weights.sum() if self.weights.sum() > 0 else np.full(len(self.weights), 1 / len(self.weights))
         at: Column = F.element_at(F.array(*[F.lit(float(x)) for x in w]), F.col("l") + 1)
-        share = hist.join(F.broadcast(size), "label").select("l", "cell", "label", (at * F.col("n") / F.col("size")).alias("part"))
-        sims = new.join(share, ["l", "cell"]).groupBy("id", "label").agg(F.sum("part").alias("s")).groupBy("id").agg(F.min_by("label", F.struct(-F.col("s"), F.col("label"))).alias("label"))
+        share = hist.join(broadcast_if_small(size), "label").select("l", "cell", "label", (at * F.col("n") / F.col("size")).alias("part"))
+        sims = new.join(broadcast_if_small(share), ["l", "cell"]).groupBy("id", "label").agg(F.sum("part").alias("s")).groupBy("id").agg(F.min_by("label", F.struct(-F.col("s"), F.col("label"))).alias("label"))
         first = size.orderBy(F.desc("size"), "label").first()
         return df.select(F.col(id_col).alias("id")).join(sims, "id", "left").select("id", F.coalesce("label", F.lit(first["label"] if first else 0)).alias("label"))
 
-    def distances(self, max_pairs: int = pairs.MAX_PAIRS) -> DataFrame:
-        """(i, j, dist) of all pairs of fitted rows, weighted unless the weights are all alike; a guarded all-pairs table."""
-        alike = np.allclose(self.weights, 1.0) or self.weights.sum() <= 0
-        return pairs.hamming_pairs(self.cells_, self.id_col, None if alike else list(map(float, self.weights)), max_pairs)
+    def importances(self, df: DataFrame) -> list[dict]:
+        """Permutation importance of the columns for the fitted labels, embedded as the model embeds (trees included)."""
+        from tabseg.operators import importance
 
-    def similarities(self, max_pairs: int = pairs.MAX_PAIRS) -> DataFrame:
-        return self.distances(max_pairs).select("i", "j", (1 - F.col("dist")).alias("similarity"))
+        labels = self.labels_.select(F.col("id").alias(self.id_col), "label")
+        uniform_ = np.allclose(self.weights, 1.0) or self.weights.sum() <= 0
+        cols = list(self.used_) if self.normaliser is not None else self.columns_
+        run = (lambda x, id_col: self.trees_.transform(x, id_col)) if self.trees_ is not None else (lambda x, id_col: embed.embed(x, self.spec, [id_col]))
+        return importance.permutation_importance(df, self.id_col, run, labels, cols, None if uniform_ else list(map(float, self.weights)), self.importance_repeats, self.seed)
+
+    def distances(self) -> DataFrame:
+        """(i, j, dist) of all pairs of fitted rows, weighted unless the weights are all alike; quadratic by definition."""
+        alike = np.allclose(self.weights, 1.0) or self.weights.sum() <= 0
+        return pairs.hamming_pairs(self.cells_, self.id_col, None if alike else list(map(float, self.weights)))
+
+    def similarities(self) -> DataFrame:
+        return self.distances().select("i", "j", (1 - F.col("dist")).alias("similarity"))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The fitted model as tables: settings and specification (one row), cells and labels of the fitted rows. Contrastive trees and normalisers aren't kept."""
+        if self.trees_ is not None or self.normaliser is not None:
+            raise ValueError("models with contrastive trees or a normaliser can't be saved")
+        self.cells_.write.mode("overwrite").parquet(f"{path}/cells")
+        self.labels_.write.mode("overwrite").parquet(f"{path}/labels")
+        spark.createDataFrame([(self.to_json(),)], "model string").coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+
+    def restore(self, spark: SparkSession, path: str, id_col: str) -> ForestSegmenter:
+        said = json.loads(spark.read.parquet(f"{path}/model").first()["model"])
+        self.kinds, self.used_, self.spec, self.weights = said["kinds"], said["used"], spec.Spec.from_json(said["spec"]), np.array(said["weights"])
+        self.columns_, self.id_col, self.trees_, self.normaliser = list(self.kinds), id_col, None, None
+        self.cells_, self.labels_ = spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/labels")
+        return self
 
     def to_json(self) -> str:
-        return json.dumps({"kinds": self.kinds, "spec": self.spec.to_json(), "weights": list(map(float, self.weights)), "clusterer": self.clusterer, "n_clusters": self.n_clusters})
+        return json.dumps({"kinds": self.kinds, "used": self.used_, "spec": self.spec.to_json(), "weights": list(map(float, self.weights)), "clusterer": self.clusterer if isinstance(self.clusterer, str) else None, "n_clusters": self.n_clusters})
+
+
+@dataclass
+class ForestTransformer:
+    """The embedding alone, without clustering: fit, transform (new rows to cells), get_embedding (cells of the fitted rows).
+
+    Bins of categories are not capped by their number of values, unlike in the segmenter's automatic mode.
+    """
+
+    n_iterations: int = 32
+    n_features: int | float | str = "sqrt"
+    n_bins: int = 3
+    cut: str = "uniform"
+    correlation_threshold: float | None = None
+    detection: Detection = field(default_factory=Detection)
+    seed: int = 42
+    spec: spec.Spec | None = None
+
+    def fit(self, df: DataFrame, id_col: str, columns: list[str] | None = None) -> ForestTransformer:
+        cols = columns or [c for c in df.columns if c != id_col]
+        self.kinds = detect_types(df, cols, self.detection)
+        numeric = [c for c in cols if self.kinds[c] == "numerical"]
+        w = None
+        if self.correlation_threshold is not None and len(numeric) > 1:
+            w = {c: 1.0 for c in cols} | weighting.group_weights(numeric, weighting.spearman(df, numeric), self.correlation_threshold)
+        self.spec = spec.fit(df, spec.draw(self.kinds, self.n_iterations, self.n_features, self.n_bins, self.seed, w, None, self.cut), id_col)
+        self.embedding_ = materialise(self.transform(df, id_col))
+        return self
+
+    def transform(self, df: DataFrame, id_col: str) -> DataFrame:
+        if self.spec is None:
+            raise ValueError("fit first")
+        return embed.embed(df, self.spec, [id_col])
+
+    def fit_transform(self, df: DataFrame, id_col: str) -> DataFrame:
+        return self.fit(df, id_col).embedding_
+
+    def get_embedding(self) -> DataFrame:
+        return self.embedding_

@@ -169,7 +169,8 @@ def cuts_density(spark: SparkSession, d: str) -> DataFrame:
 
     m, rows = read(spark, d, "mixed_rows"), []
     for c in ("cont_1", "cont_2", "cont_3"):
-        got, how = cuts.density_cuts(cuts.sample_column(m, c, "row_id"), 3, np.random.default_rng(1))
+        x, n = cuts.weighted_points(m, c)
+        got, how = cuts.density_cuts(x, 3, np.random.default_rng(1), n=n)
         rows += [(c, i, float(x), how) for i, x in enumerate(got)]
     return spark.createDataFrame(rows, "col string, i int, cut double, how string")
 
@@ -308,16 +309,20 @@ def hamming_silhouette(spark: SparkSession, d: str) -> DataFrame:
     return metrics.hamming_silhouette(customer_cells(spark, d), customer_labels(spark, d), "c_custkey").withColumn("silhouette", F.round("silhouette", 6) + 0.0)
 
 
-def _points(spark: SparkSession, d: str, width: int = 8) -> DataFrame:
+#: Components of the vectors of `embeddings`, all of which the queries below use.
+WIDTH = 64
+
+
+def _points(spark: SparkSession, d: str) -> DataFrame:
     from tabseg.sources.tables import spread_vector
 
     e = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", "embedding")
-    return spread_vector(e, "embedding", width)
+    return spread_vector(e, "embedding", WIDTH)
 
 
-_P = [f"x{i}" for i in range(8)]
-_POINTS = "p AS (SELECT vec_id AS id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(8)) + " FROM embeddings)"
-_DIST = "sqrt(" + " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(8)) + ")"
+_P = [f"x{i}" for i in range(WIDTH)]
+_POINTS = "p AS (SELECT vec_id AS id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(WIDTH)) + " FROM embeddings)"
+_DIST = "sqrt(" + " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(WIDTH)) + ")"
 
 
 @query(f"WITH {_POINTS}, d AS (SELECT a.id, a.label AS la, b.label AS lb, avg({_DIST}) AS d FROM p a JOIN p b ON a.id <> b.id GROUP BY 1, 2, 3), t AS (SELECT id, la, max(CASE WHEN la = lb THEN d END) AS a, min(CASE WHEN la <> lb THEN d END) AS b FROM d GROUP BY 1, 2) SELECT id, la AS label, round(CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END, 6) + 0.0 AS silhouette FROM t")
@@ -325,14 +330,14 @@ def euclid_silhouette(spark: SparkSession, d: str) -> DataFrame:
     return metrics.euclid_silhouette(_points(spark, d), _P).withColumn("silhouette", F.round("silhouette", 6) + 0.0)
 
 
-_M = ", ".join(f"avg(x{i}) AS m{i}" for i in range(8))
-_SSE = " + ".join(f"sum(x{i} * x{i}) - sum(x{i}) * sum(x{i}) / count(*)" for i in range(8))
+_M = ", ".join(f"avg(x{i}) AS m{i}" for i in range(WIDTH))
+_SSE = " + ".join(f"sum(x{i} * x{i}) - sum(x{i}) * sum(x{i}) / count(*)" for i in range(WIDTH))
 
 
 @query(f"""WITH {_POINTS}, c AS (SELECT label, count(*)::DOUBLE AS n, {_M}, {_SSE} AS sse FROM p GROUP BY 1), g AS (SELECT {_M}, count(*)::DOUBLE AS n FROM p),
-t AS (SELECT sum(c.sse) AS w, sum(c.n * ({" + ".join(f"(c.m{i} - g.m{i}) ** 2" for i in range(8))})) AS b, max(g.n) AS n, count(*)::DOUBLE AS k FROM c CROSS JOIN g),
-s AS (SELECT p.label, avg(sqrt({" + ".join(f"(p.x{i} - c.m{i}) ** 2" for i in range(8))})) AS s FROM p JOIN c ON p.label = c.label GROUP BY 1),
-r AS (SELECT a.label, max((sa.s + sb.s) / sqrt({" + ".join(f"(a.m{i} - b.m{i}) ** 2" for i in range(8))})) AS r FROM c a JOIN c b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY 1)
+t AS (SELECT sum(c.sse) AS w, sum(c.n * ({" + ".join(f"(c.m{i} - g.m{i}) ** 2" for i in range(WIDTH))})) AS b, max(g.n) AS n, count(*)::DOUBLE AS k FROM c CROSS JOIN g),
+s AS (SELECT p.label, avg(sqrt({" + ".join(f"(p.x{i} - c.m{i}) ** 2" for i in range(WIDTH))})) AS s FROM p JOIN c ON p.label = c.label GROUP BY 1),
+r AS (SELECT a.label, max((sa.s + sb.s) / sqrt({" + ".join(f"(a.m{i} - b.m{i}) ** 2" for i in range(WIDTH))})) AS r FROM c a JOIN c b ON a.label <> b.label JOIN s sa ON sa.label = a.label JOIN s sb ON sb.label = b.label GROUP BY 1)
 SELECT t.n::BIGINT AS n, t.k::INTEGER AS k, round(t.b / t.w * (t.n - t.k) / (t.k - 1), 4) AS calinski_harabasz, round((SELECT avg(r) FROM r), 4) AS davies_bouldin, round(t.w, 3) AS sse FROM t""")
 def separation_scores(spark: SparkSession, d: str) -> DataFrame:
     s = metrics.separation(_points(spark, d), _P)
@@ -370,7 +375,7 @@ def lsh_bucket_loads(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {SUPPLIER_SQL}, b AS (SELECT id, l // 5 AS band, string_agg(cell::VARCHAR, ',' ORDER BY l) AS k FROM cells GROUP BY 1, 2), e AS (SELECT DISTINCT a.id AS src, c.id AS dst FROM b a JOIN b c ON a.band = c.band AND a.k = c.k AND a.id <> c.id), d AS (SELECT src, dst, sum(CASE WHEN x.cell <> y.cell THEN 1 ELSE 0 END)::INTEGER AS dist FROM e JOIN cells x ON x.id = src JOIN cells y ON y.id = dst AND y.l = x.l GROUP BY 1, 2) SELECT src, dst, dist FROM (SELECT src, dst, dist, row_number() OVER (PARTITION BY src ORDER BY dist, dst) AS r FROM d) WHERE r <= 5")
 def lsh_knn(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.lsh_knn(supplier_cells(spark, d), "s_suppkey", 5, 5, max_bucket=100_000)
+    return pairs.lsh_knn(supplier_cells(spark, d), "s_suppkey", 5, 5)
 
 
 @query(_KNN + " SELECT src, dst, max(dist)::INTEGER AS dist FROM (SELECT src, dst, dist FROM k UNION ALL SELECT dst, src, dist FROM k) GROUP BY 1, 2")
@@ -383,11 +388,12 @@ def knn_mutual(spark: SparkSession, d: str) -> DataFrame:
     return pairs.mutual(pairs.knn(supplier_cells(spark, d), "s_suppkey", 5))
 
 
-@query(_KNN + ", s AS (SELECT max(dist)::DOUBLE AS m, quantile_cont(CASE WHEN dist > 0 THEN dist END, 0.5) AS med FROM k) SELECT src, dst, round(CASE WHEN m > 0 THEN 1 - dist / m ELSE 1 END, 6) AS linear, round(exp(-(dist * dist) / (2 * (med + 1e-10) ** 2)), 6) AS gauss FROM k CROSS JOIN s")
+@query(_KNN + ", s AS (SELECT max(dist)::DOUBLE AS m, quantile_cont(CASE WHEN dist > 0 THEN dist END, 0.5) AS med FROM k) SELECT src, dst, round(CASE WHEN m > 0 THEN 1 - dist / m ELSE 1 END, 6) AS linear, round(exp(-(dist * dist) / (2 * (med + 1e-10) ** 2)), 6) AS gauss, round(CASE WHEN dist > 0 THEN 1 / (dist + 1e-10) ELSE 1e10 END, 4) AS inverse FROM k CROSS JOIN s")
 def edge_similarity(spark: SparkSession, d: str) -> DataFrame:
     e = materialise(pairs.knn(supplier_cells(spark, d), "s_suppkey", 5))
     lin, exp = pairs.edge_similarity(e, "linear"), pairs.edge_similarity(e, "exp")
-    return lin.select("src", "dst", F.round("w", 6).alias("linear")).join(exp.select("src", "dst", F.round("w", 6).alias("gauss")), ["src", "dst"])
+    inv = pairs.edge_similarity(e, "inverse")
+    return lin.select("src", "dst", F.round("w", 6).alias("linear")).join(exp.select("src", "dst", F.round("w", 6).alias("gauss")), ["src", "dst"]).join(inv.select("src", "dst", F.round("w", 4).alias("inverse")), ["src", "dst"])
 
 
 __all__ = ["Q", "SQL", "Window", "exact_quantiles", "query"]

@@ -82,7 +82,7 @@ class Spec:
         return spark.createDataFrame(rows, "l int, feature string, kind string, bins int, edges array<double>, category_bins map<string,int>")
 
 
-def fit(df: DataFrame, sketch: Sketch, id_col: str | None = None, seed: int = 0) -> Spec:
+def fit(df: DataFrame, sketch: Sketch, id_col: str | None = None, seed: int = 0, rule: str = "silverman") -> Spec:
     """Fit the sketch on all rows: one pass of statistics, one per used category column."""
     spec = Spec(sketch)
     used = [f for it in sketch.iterations for f in it]
@@ -103,10 +103,10 @@ def fit(df: DataFrame, sketch: Sketch, id_col: str | None = None, seed: int = 0)
             if f.kind == "numerical":
                 spec.edges[f.seed] = sorted(at[f.name][u] or 0.0 for u in f.draws)
     elif numeric:
-        samples = {c: cuts.sample_column(df, c, id_col, seed=seed) for c in numeric}
+        points = {c: cuts.weighted_points(df, c) for c in numeric}
         for f in used:
             if f.kind == "numerical":
-                spec.edges[f.seed], spec.how[f.seed] = cuts.density_cuts(samples[f.name], f.bins - 1, np.random.default_rng(abs(hash32_int(f.seed))))
+                spec.edges[f.seed], spec.how[f.seed] = cuts.density_cuts(points[f.name][0], f.bins - 1, np.random.default_rng(hash32_int(f.seed)), rule, points[f.name][1])
     for c in sorted({f.name for f in used if f.kind == "categorical"}):
         values = category_values(df, c)
         for f in used:

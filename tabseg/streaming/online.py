@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import uuid
 from dataclasses import dataclass, field
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tabseg.functions.profile import number
-from tabseg.operators import embed
 from tabseg.operators.segment import ForestSegmenter
 from tabseg.session import shared_dir
 
@@ -54,8 +54,11 @@ def drift(ref: Moments, new: Moments) -> float:
 class OnlineSegmenter:
     """partial_fit: the first batch fits, later ones are embedded and appended; a rebuild draws new partitions.
 
-    strategy: 'drift' (rebuild when enough columns drifted), 'periodic' (after max_rows new rows) or 'never'. Rows are kept in a
-    table of the shared folder, one directory per batch, so a failed batch can be written again.
+    strategy: 'drift' (rebuild when enough columns drifted), 'periodic' (after max_rows new rows) or 'never'. All state lies in
+    `path` (a folder that outlives the session; by default one of the shared folder), by batch id: rows/batch=i, state/batch=i (the batch's
+    moments and report) and model/i (specification, cells and labels). A batch that is repeated after a failure writes its own state again and is
+    counted once; a new OnlineSegmenter over the same path goes on where the last one stopped. keep_rows: rebuilds and labels see only that many of
+    the latest rows (None: all).
     """
 
     segmenter: ForestSegmenter
@@ -64,55 +67,110 @@ class OnlineSegmenter:
     threshold: float = 0.3
     fraction: float = 0.3
     max_rows: int = 100_000
-    reference: dict[str, Moments] = field(default_factory=dict)
-    running: dict[str, Moments] = field(default_factory=dict)
-    reports: list[dict] = field(default_factory=list)
-    rebuilds: int = 0
-    since: int = 0
+    keep_rows: int | None = None
     path: str | None = None
+    batches: dict[int, dict] = field(default_factory=dict)  # by batch id: moments and report
+    model_of: int | None = None  # the batch that fitted the model
 
     def partial_fit(self, batch: DataFrame, batch_id: int | None = None) -> dict:
         spark = batch.sparkSession
         self.path = self.path or f"{shared_dir(spark)}/tabseg-online-{uuid.uuid4().hex}"
-        batch_id = len(self.reports) if batch_id is None else batch_id
-        where = f"{self.path}/batch={batch_id}"
+        self._load(spark)
+        batch_id = max(self.batches, default=-1) + 1 if batch_id is None else batch_id
+        where = f"{self.path}/rows/batch={batch_id}"
         batch.write.mode("overwrite").parquet(where)
         batch = spark.read.parquet(where)
-        first = self.segmenter.spec is None
+        done = self.batches.pop(batch_id, None)  # a repeated batch is judged as it was the first time
+        first = self.model_of is None or self.model_of == batch_id and not self.batches
         if first:
-            self._fit(batch)
+            self._fit(spark, batch, batch_id)
         numeric = [c for c, k in self.segmenter.kinds.items() if k == "numerical"]
         now = moments(batch, numeric) if numeric else {}
-        found = {c: 0.0 if first else drift(self.reference[c], now[c]) for c in numeric}
+        reference = self._merged(numeric, self.batches[self.model_of]["seen"] if not first and self.model_of in self.batches else [])
+        found = {c: 0.0 if first else drift(reference[c], now[c]) for c in numeric}
         drifted = [c for c, x in found.items() if x > self.threshold]
-        self.running = now if first else {c: self.running[c].merge(now[c]) for c in numeric}
-        if first:
-            self.reference = now
         n = batch.count()
-        self.since += 0 if first else n
-        rebuild = not first and ((self.strategy == "drift" and numeric and len(drifted) / len(numeric) >= self.fraction) or (self.strategy == "periodic" and self.since >= self.max_rows))
+        since = 0 if first else n + sum(b["report"]["rows"] for i, b in self.batches.items() if i > self.model_of)
+        rebuild = not first and ((self.strategy == "drift" and numeric and len(drifted) / len(numeric) >= self.fraction) or (self.strategy == "periodic" and since >= self.max_rows))
+        rebuild = bool(rebuild) if done is None else done["report"]["rebuilt"]
+        report = {"batch": batch_id, "rows": n, "drift": found, "drifted": drifted, "rebuilt": rebuild}
+        state = {"moments": {c: [m.count, m.mean, m.m2, m.low, m.high] for c, m in now.items()}, "report": report, "seen": sorted({*self.batches, batch_id})}
         if rebuild:
-            self.rebuilds += 1
-            self.segmenter.seed += 1
+            self.batches[batch_id] = state
+            self.segmenter.seed = self.seed_ + self.rebuilds
             self.segmenter.spec = None
-            self._fit(self.stored(spark))
-            self.reference, self.since = dict(self.running), 0
-        report = {"batch": batch_id, "rows": n, "drift": found, "drifted": drifted, "rebuilt": bool(rebuild)}
-        self.reports.append(report)
+            self._fit(spark, self.stored(spark), batch_id)
+        self.batches[batch_id] = state
+        spark.createDataFrame([(json.dumps(state),)], "state string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/state/batch={batch_id}")
         return report
 
-    def _fit(self, df: DataFrame) -> None:
+    @property
+    def reports(self) -> list[dict]:
+        return [self.batches[i]["report"] for i in sorted(self.batches)]
+
+    @property
+    def rebuilds(self) -> int:
+        return sum(b["report"]["rebuilt"] for b in self.batches.values())
+
+    @property
+    def running(self) -> dict[str, Moments]:
+        """Moments of all batches, each counted once."""
+        return self._merged([c for c, k in self.segmenter.kinds.items() if k == "numerical"], sorted(self.batches))
+
+    def _merged(self, cols: list[str], batches: list[int]) -> dict[str, Moments]:
+        out = {c: Moments() for c in cols}
+        for i in batches:
+            for c in cols:
+                if i in self.batches and c in self.batches[i]["moments"]:
+                    out[c] = out[c].merge(Moments(*self.batches[i]["moments"][c]))
+        return out
+
+    def _load(self, spark: SparkSession) -> None:
+        """Take over what an earlier session left in the folder."""
+        if self.batches or self.model_of is not None:
+            return
+        self.seed_ = self.segmenter.seed
+        if not _exists(spark, f"{self.path}/state"):
+            return
+        for r in spark.read.option("basePath", f"{self.path}/state").parquet(f"{self.path}/state").collect():  # one row per batch
+            self.batches[int(r["batch"])] = json.loads(r["state"])
+        fitted = [i for i, b in self.batches.items() if b["report"]["rebuilt"] or i == min(self.batches)]
+        if fitted:
+            self.model_of = max(fitted)
+            self.segmenter.restore(spark, f"{self.path}/model/{self.model_of}", self.id_col)
+
+    def _fit(self, spark: SparkSession, df: DataFrame, batch_id: int) -> None:
         self.segmenter.fit(df, self.id_col, list(self.segmenter.kinds) or [c for c in df.columns if c not in (self.id_col, "batch")])
+        self.segmenter.save(spark, f"{self.path}/model/{batch_id}")
+        self.model_of = batch_id
 
     def stored(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", self.path).parquet(self.path).drop("batch")
+        """The rows seen so far, or the latest keep_rows of them: whole batches, and of the oldest one those with the largest ids."""
+        rows = spark.read.option("basePath", f"{self.path}/rows").parquet(f"{self.path}/rows")
+        if self.keep_rows is None:
+            return rows.drop("batch")
+        size = {int(r["batch"]): r["count"] for r in rows.groupBy("batch").count().collect()}  # one row per batch
+        left, out = self.keep_rows, None
+        for i in sorted(size, reverse=True):
+            part = rows.where(F.col("batch") == i)
+            part = part if size[i] <= left else part.orderBy(F.desc(self.id_col)).limit(left)
+            out = part if out is None else out.unionByName(part)
+            left -= min(size[i], left)
+            if not left:
+                break
+        return out.drop("batch")
 
     def labels(self, spark: SparkSession) -> DataFrame:
         """Segments of all rows seen so far."""
         return self.segmenter.predict(self.stored(spark), self.id_col)
 
     def cells(self, spark: SparkSession) -> DataFrame:
-        return embed.embed(self.stored(spark), self.segmenter.spec, [self.id_col])
+        return self.segmenter.embed(self.stored(spark), self.id_col)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
 def start(stream: DataFrame, online: OnlineSegmenter, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
