@@ -10,6 +10,7 @@ centre do.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
@@ -21,16 +22,16 @@ from pyspark.sql import functions as F
 from tabseg.llm.vectors import BUCKETS, CELL, Space, _sums, bucket_of, fit_space, kmeans, nearest, standardised, summarise
 from tabseg.session import materialise
 
-#: Centres that k-means places.
-CENTRES = 128
+#: Edge of the coarse cells that are counted to choose the number of centres (in units of scale), centres per coarse cell that is dense, and the fewest and most centres.
+COARSE, PER_CELL, FEWEST, MOST = 0.5, 3, 64, 1024
 #: A centre is dense if the density around it is so many times the mean density over the occupied box.
 DENSE = 2.0
 #: Least density half way between two centres, as a share of the smaller of theirs, that joins them.
 VALLEY = 0.2
 #: Least share of a component that makes a category a segment of its own.
 SHARE = 0.08
-#: A component needs so many rows, and such a share of all rows, to count as a segment.
-LEAST_ROWS, LEAST_SHARE = 10, 0.001
+#: A component needs so many rows to count as a segment, however large the table is.
+LEAST_ROWS = 10
 #: A row farther from its centre than so many root mean square distances is a stray.
 REACH = 3.0
 
@@ -55,8 +56,14 @@ class Segments:
 def _density(mass: np.ndarray, square: np.ndarray, width: int) -> np.ndarray:
     """Mass over the volume of a ball whose mean squared distance is `square` (uniform ball: d/(d+2) of its squared radius)."""
     radius = np.sqrt(np.maximum(square, 1e-8) * (width + 2) / width)
-    ball = {1: 2.0, 2: np.pi, 3: 4 * np.pi / 3}.get(width, 1.0)
-    return mass / (ball * radius**width)
+    return mass / (math.pi ** (width / 2) / math.gamma(width / 2 + 1) * radius**width)
+
+
+def _centres(points: DataFrame, names: list[str], mean: float) -> int:
+    """How many centres the data ask for: PER_CELL for every coarse cell of more than DENSE times the mean density, whatever the number of rows."""
+    by = [F.floor(F.col(c) / COARSE).alias(f"g{i}") for i, c in enumerate(names)]
+    full = points.groupBy(*by).agg(F.sum("n").alias("n")).where(F.col("n") > DENSE * mean * COARSE ** len(names)).count()
+    return min(max(PER_CELL * full, FEWEST), MOST)
 
 
 def _mass_near(points: DataFrame, names: list[str], probes: np.ndarray, reach: np.ndarray) -> np.ndarray:
@@ -104,17 +111,18 @@ def _near(points: DataFrame, space: Space, centres: np.ndarray, dense: np.ndarra
     return materialise(points.mapInPandas(run, points.schema))
 
 
-def fit_segments(df: DataFrame, numbers: list[str], category: Column, k: int = CENTRES, seed: int = 2) -> Segments:
-    """df: rows with finite numbers. An empty table gives no segments; equal rows form one."""
+def fit_segments(df: DataFrame, numbers: list[str], category: Column, k: int | None = None, seed: int = 2, least_rows: int = LEAST_ROWS) -> Segments:
+    """df: rows with finite numbers. An empty table gives no segments; equal rows form one. k: centres of k-means, chosen from the data if None."""
     space = fit_space(df, numbers)
     d = len(numbers)
     names = [f"z{i}" for i in range(d)]
     points = summarise(df, space, category)
-    box = points.agg(F.sum("n").alias("n"), *[(F.max(c) - F.min(c)).alias(c) for c in names]).first()
+    n = points.agg(F.sum("n")).first()[0]
     nothing = Segments(space, np.zeros((0, d)), np.zeros(0), np.zeros(0), np.zeros((0, BUCKETS + 1), int))
-    if not box["n"]:
+    if not n:
         return nothing
-    mean = box["n"] / np.prod([max(box[c], 4 * CELL) for c in names])
+    mean = n / np.prod([max(x, 4 * CELL) for x in space.extent])
+    k = k or _centres(points, names, mean)
     bare = replace(space, weight=0.0)
 
     def numeric(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -136,7 +144,7 @@ def fit_segments(df: DataFrame, numbers: list[str], category: Column, k: int = C
     radius = np.sqrt(square)
     part = _components(centres, radius, near, names)
     whole = np.bincount(part, mass)[part]
-    large = whole >= max(LEAST_ROWS, LEAST_SHARE * box["n"])
+    large = whole >= least_rows
     if not large.any():
         return nothing
     centres, mass, square, radius = centres[large], mass[large], square[large], radius[large]

@@ -16,11 +16,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabseg.functions.quantiles import exact_quantiles
 from tabseg.session import finite, materialise
 
 #: Buckets into which categories are hashed.
 BUCKETS = 16
-#: Grid cell of the summary, in standard deviations.
+#: Quantiles from which centre, scale and extent of a column are taken.
+PROBS = (0.001, 0.25, 0.5, 0.75, 0.999)
+#: Grid cell of the summary, in units of scale.
 CELL = 0.03
 
 
@@ -31,7 +34,8 @@ class Space:
     numbers: list[str]
     centre: list[float] = field(default_factory=list)
     scale: list[float] = field(default_factory=list)
-    weight: float = 0.25  # length of a category's hashed feature, in standard deviations
+    weight: float = 0.25  # length of a category's hashed feature, in units of scale
+    extent: list[float] = field(default_factory=list)  # from the lowest to the highest of PROBS, in units of scale
 
     @property
     def width(self) -> int:
@@ -47,12 +51,16 @@ class Space:
 
 
 def fit_space(df: DataFrame, numbers: list[str], weight: float = 0.25) -> Space:
-    """Mean and standard deviation of the finite numbers, over all rows. Constant columns get scale 1."""
-    aggs = [f(F.when(finite(F.col(c)), F.col(c))).alias(f"{n}{i}") for i, c in enumerate(numbers) for n, f in (("m", F.avg), ("s", F.stddev_pop))]
-    r = df.agg(*aggs).first()
-    centre = [r[f"m{i}"] or 0.0 for i in range(len(numbers))]
-    scale = [r[f"s{i}"] or 1.0 for i in range(len(numbers))]
-    return Space(list(numbers), centre, scale, weight)
+    """Median and interquartile range (over 1.349, so that it is a standard deviation under a normal) of the finite numbers, over all rows and exact, so that
+    no outlier stretches the scale; where half of the values are equal, the standard deviation. Constant columns get scale 1."""
+    q = exact_quantiles(df.select(*numbers), {c: list(PROBS) for c in numbers})
+    centre = [q[c][2] or 0.0 for c in numbers]
+    scale = [((q[c][3] or 0.0) - (q[c][1] or 0.0)) / 1.349 for c in numbers]
+    if not all(scale):
+        r = df.agg(*[F.stddev_pop(F.when(finite(F.col(c)), F.col(c))).alias(f"s{i}") for i, c in enumerate(numbers)]).first()
+        scale = [x or r[f"s{i}"] or 1.0 for i, x in enumerate(scale)]
+    extent = [((q[c][4] or 0.0) - (q[c][0] or 0.0)) / x for c, x in zip(numbers, scale)]
+    return Space(list(numbers), centre, scale, weight, extent)
 
 
 def bucket_of(category: Column) -> Column:
