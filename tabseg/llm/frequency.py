@@ -5,11 +5,12 @@ counts its share in a burst trie: terms hang in small containers which burst int
 character once they hold too many, so a container's prefix is as long as the data require. Containers are
 emitted as compact subtrees (prefix, suffixes, counters). Routing prefixes are then chosen from the counts
 of the emitted terms, long where many terms share a beginning; subtrees that match a route meet in one
-group and are merged there. A group holds at most about ROUTE_TERMS terms of every worker.
+group and are merged there, container by container. A group holds at most about ROUTE_TERMS terms of every worker.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabseg.session import materialise
+from tabseg.session import broadcast_if_small, materialise
 
 #: Terms that a container holds before it bursts.
 CONTAINER = 512
@@ -57,6 +58,41 @@ class BurstTrie:
         if len(node.counts) > self.container and rest:
             self._burst(node, parent)
 
+    def graft(self, prefix: str, counts: dict[str, list[int]]) -> None:
+        """Merge a subtree, given by its prefix and the counters of its suffixes, with what this trie holds there."""
+        node, parent, at = self.root, None, 0
+        while isinstance(node, Node) and at < len(prefix):
+            key = prefix[at]
+            if key not in node.below:
+                node.below[key] = Container()
+            parent, node, at = (node, key), node.below[key], at + 1
+        if isinstance(node, Node):  # this trie is deeper here: the subtree parts by its next character
+            parts: dict[str, dict[str, list[int]]] = {}
+            for rest, c in counts.items():
+                parts.setdefault(rest[:1], {})[rest[1:]] = c
+            for key, part in parts.items():
+                if key:
+                    self.graft(prefix + key, part)
+                else:
+                    self.add(prefix, *part[""])
+            return
+        lead, held = prefix[at:], node.counts
+        for rest, c in counts.items():
+            own = held.get(lead + rest)
+            if own is None:
+                held[lead + rest] = list(c)
+                self.terms += 1
+            else:
+                own[0] += c[0]
+                own[1] += c[1]
+        while len(node.counts) > self.container and any(node.counts):
+            self._burst(node, parent)
+            inner = self.root if parent is None else parent[0].below[parent[1]]
+            key, below = max(inner.below.items(), key=lambda x: len(x[1].counts))
+            node, parent = below, (inner, key)
+            if key == "":
+                break
+
     def _burst(self, full: Container, parent: tuple[Node, str] | None) -> None:
         node = Node()
         for rest, counts in full.counts.items():
@@ -111,24 +147,30 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _emit(tries)
 
 
-def _routes(subtrees: DataFrame, limit: int) -> list[tuple[str, str]]:
-    """(column, prefix) pairs no one of which covers more than `limit` emitted terms, unless the terms are no longer than it."""
+def _routes(subtrees: DataFrame, limit: int) -> list[tuple[str, str, int]]:
+    """(column, prefix, parts): prefixes that hold many terms are routes of their own; what is left of a prefix when its large continuations
+    have routes is dealt into parts by the next character, so that no part covers much more than `limit` emitted terms."""
     open_: list[tuple[str, str]] | None = None
-    done: list[tuple[str, str]] = []
+    size: dict[tuple[str, str], int] = {}
     terms = None
     depth = 0
     while open_ is None or open_:
         if open_ is None:
-            sizes = [(r["col"], "", r["n"]) for r in subtrees.groupBy("col").agg(F.sum(F.size("suffixes")).alias("n")).collect()]
+            found = [(r["col"], "", r["n"]) for r in subtrees.groupBy("col").agg(F.sum(F.size("suffixes")).alias("n")).collect()]
         else:
             terms = terms if terms is not None else subtrees.select("col", F.explode(F.transform("suffixes", lambda s: F.concat("prefix", s))).alias("val"))
             within = terms.sparkSession.createDataFrame(open_, "col string, cut string")
-            cut = terms.withColumn("cut", F.substring("val", 1, depth - 1)).join(F.broadcast(within), ["col", "cut"]).where(F.length("val") >= depth)
-            sizes = [(r["col"], r["p"], r["n"]) for r in cut.groupBy("col", F.substring("val", 1, depth).alias("p")).agg(F.count("*").alias("n")).where(F.col("n") > limit // 16).collect()]
-        done += [(c, p) for c, p, n in sizes]
-        open_ = [(c, p) for c, p, n in sizes if n > limit]
+            cut = terms.withColumn("cut", F.substring("val", 1, depth - 1)).join(broadcast_if_small(within), ["col", "cut"]).where(F.length("val") >= depth)
+            found = [(r["col"], r["p"], r["n"]) for r in cut.groupBy("col", F.substring("val", 1, depth).alias("p")).agg(F.count("*").alias("n")).where(F.col("n") > limit // 16).collect()]
+        for c, p, n in found:
+            size[c, p] = n
+        open_ = [(c, p) for c, p, n in found if n > limit]
         depth += 1
-    return done
+    rest = dict(size)
+    for c, p in size:
+        if p:
+            rest[c, p[:-1]] -= size[c, p]
+    return [(c, p, max(-(-rest[c, p] // limit), 1)) for c, p in size]
 
 
 def count_values(rows: DataFrame, route_terms: int = ROUTE_TERMS) -> DataFrame:
@@ -142,9 +184,9 @@ def count_values(rows: DataFrame, route_terms: int = ROUTE_TERMS) -> DataFrame:
         .select("col", "val", "n", F.col("record").isNotNull().cast("bigint").alias("r"))
     )
     subtrees = materialise(single.mapInArrow(_count, SUBTREE))
-    routes: dict[str, dict[int, set[str]]] = {}
-    for col, prefix in _routes(subtrees, route_terms):
-        routes.setdefault(col, {}).setdefault(len(prefix), set()).add(prefix)
+    routes: dict[str, dict[int, dict[str, int]]] = {}
+    for col, prefix, parts in _routes(subtrees, route_terms):
+        routes.setdefault(col, {}).setdefault(len(prefix), {})[prefix] = parts
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -154,15 +196,16 @@ def count_values(rows: DataFrame, route_terms: int = ROUTE_TERMS) -> DataFrame:
                 known = routes[col]
                 for i, s in enumerate(suffixes):
                     term = prefix + s
-                    by.setdefault(next(term[:k] for k in sorted(known, reverse=True) if term[:k] in known[k]), []).append(i)
+                    to = next(term[:k] for k in sorted(known, reverse=True) if term[:k] in known[k])
+                    parts = known[len(to)][to]
+                    by.setdefault(to if parts == 1 else f"{to}\x1f{zlib.crc32(term[len(to) : len(to) + 1].encode()) % parts}", []).append(i)
                 out += [(col, to, prefix, np.asarray(suffixes)[at], np.asarray(n)[at], np.asarray(r)[at]) for to, at in by.items()]
             yield pd.DataFrame(out, columns=["col", "route", "prefix", "suffixes", "occurrences", "records"])
 
     def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         trie = BurstTrie()
         for prefix, suffixes, n, r in part[["prefix", "suffixes", "occurrences", "records"]].itertuples(index=False):
-            for s, a, c in zip(suffixes, n, r):
-                trie.add(prefix + s, int(a), int(c))
+            trie.graft(prefix, {s: [int(a), int(c)] for s, a, c in zip(suffixes, n, r)})
         return pd.DataFrame([(key[0], prefix + s, c[0], c[1]) for prefix, held in trie.subtrees() for s, c in held.items()], columns=["col", "val", "occurrences", "records"])
 
     return subtrees.mapInPandas(route, SUBTREE.replace("prefix", "route string, prefix", 1)).groupBy("col", "route").applyInPandas(merge, COUNTS)
