@@ -8,8 +8,8 @@ follows scans every list which that bound cannot rule out and abandons only cand
 distance alone exceeds it: the result is exact, however many lists were probed first. Without the check
 (`exact=False`) the test decides there too, at an error that its margin controls.
 
-Lists are cut into blocks of bounded size, so a list that holds a third of all vectors is scanned by many
-tasks; each task returns its best k per query.
+Lists are cut into blocks of bounded size and so are the queries of a list, so a list that holds a third of all
+vectors or queries is scanned by many tasks; each task returns its best k per query.
 """
 
 from __future__ import annotations
@@ -29,9 +29,9 @@ from tabseg.session import broadcast_if_small, materialise
 #: Vectors on which the centres of the lists are fitted.
 SAMPLE = 60_000
 #: Vectors that a list should hold, and the largest number of lists.
-LIST_SIZE, MOST_LISTS = 4000, 2048
-#: Vectors of one block.
-BLOCK = 16_000
+LIST_SIZE, MOST_LISTS = 4000, SAMPLE // 8
+#: Vectors and queries of one block.
+BLOCK, QUERIES = 16_000, 20_000
 #: Tasks over which the queries of one group are spread.
 SALTS = 24
 
@@ -192,9 +192,14 @@ def nearest_rows(vectors: DataFrame, queries: DataFrame, k: int = 5, margin: flo
 
     def search(asks: DataFrame, test: float | None) -> DataFrame:
         """Best k of each query in each block of the lists it probes."""
-        by = ["grp", "list", "block"]
-        spread = asks.join(blocks, ["grp", "list"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        split = indexed.join(blocks, ["grp", "list"]).select("id", "grp", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "x")
+        by = ["grp", "list", "block", "part"]
+        # a list's queries are dealt into parts, each of which meets every block; lists that no query probes are left out
+        asks = materialise(asks)
+        many = broadcast_if_small(asks.groupBy("grp", "list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")))
+        part = F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).cast("int")
+        spread = asks.join(blocks, ["grp", "list"]).join(many, ["grp", "list"]).withColumn("part", part).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "parts")
+        split = indexed.join(blocks, ["grp", "list"]).join(many, ["grp", "list"])
+        split = split.select("id", "grp", "list", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "x")
 
         def one(left: pa.Table, right: pa.Table) -> pa.Table:
             if left.num_rows and right.num_rows:
