@@ -122,8 +122,9 @@ def _collection(spark: SparkSession, d: str) -> DataFrame:
     c = ["cont_1", "cont_2", "cont_3"]
     m = read(spark, d, "mixed_rows").where(finite(F.col(c[0])) & finite(F.col(c[1])) & finite(F.col(c[2])) & F.col("obs_at").isNotNull())
     record = F.coalesce(F.col("record_no"), -F.col("row_id") - 1)
-    m = m.groupBy(record.alias("record"), F.date_format("obs_at", "yyyy-MM").alias("grp")).agg(F.min(F.struct("row_id", neighbours.vector(c).alias("x"), "is_probe")).alias("r"))
-    return m.select(F.col("r.row_id").alias("id"), "grp", "r.x", "r.is_probe")
+    # values of fixed width, so that hashing aggregates them, not sorting
+    m = m.groupBy(record.alias("record"), F.date_format("obs_at", "yyyy-MM").alias("grp")).agg(F.min("row_id").alias("id"), *[F.min_by(x, "row_id").alias(x) for x in (*c, "is_probe")])
+    return m.select("id", "grp", neighbours.vector(c).alias("x"), "is_probe")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +143,8 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def p6_select(spark: SparkSession, d: str) -> DataFrame:
     """The rows chosen for each origin, with their stratum; `rare` marks those that any choice must keep."""
     m = read(spark, d, "mixed_rows")
-    reports = read(spark, d, "compression_reports").where((F.col("n_prototypes") > 0) & F.col("origin").isNotNull())
+    usable = (F.col("n_prototypes") > 0) & F.col("origin").isNotNull() & (F.col("n_samples").isNull() | (F.col("n_prototypes") <= F.col("n_samples")))
+    reports = read(spark, d, "compression_reports").where(usable)
     latest = reports.groupBy(F.col("origin").alias("scope")).agg(F.max_by("n_prototypes", F.struct("run_at", "report_id")).alias("wanted"))
     cats = [trimmed_key(F.col("cat_1")), trimmed_key(F.col("cat_2")), F.col("binary_1"), F.col("binary_2")]
     placed = varied.strata(m, "row_id", "record_no", F.col("origin"), F.date_format("obs_at", "yyyy-MM"), cats, ["cont_1", "cont_2", "cont_3"], F.upper(cats[0]))
@@ -210,6 +212,14 @@ q AS (SELECT table_name, col_name, grp, CAST(pct AS INTEGER) AS pct, v AS value
 """
 
 
+_NEAR = """
+WITH c AS (SELECT row_id, coalesce(record_no, -row_id - 1) AS rec, strftime(obs_at, '%Y-%m') AS grp, cont_1, cont_2, cont_3, is_probe FROM mixed_rows WHERE isfinite(cont_1) AND isfinite(cont_2) AND isfinite(cont_3) AND obs_at IS NOT NULL),
+v AS (SELECT c.* FROM c JOIN (SELECT rec, grp, min(row_id) AS row_id FROM c GROUP BY 1, 2) f USING (rec, grp, row_id)),
+g AS (SELECT q.row_id AS qid, v.row_id AS id, 0 + (q.cont_1 - v.cont_1) * (q.cont_1 - v.cont_1) + (q.cont_2 - v.cont_2) * (q.cont_2 - v.cont_2) + (q.cont_3 - v.cont_3) * (q.cont_3 - v.cont_3) AS d2 FROM (SELECT * FROM v WHERE {}) q JOIN v ON q.grp = v.grp AND q.row_id <> v.row_id),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d2, id) AS rank FROM g) WHERE rank <= 5)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     bins = "CAST(len(list_filter(b.edges, lambda e: e <= value)) AS INTEGER) AS bin_no FROM q JOIN bin_specs b ON q.table_name = b.table_name AND q.col_name = b.col_name"
     return {
@@ -221,6 +231,8 @@ WHERE regexp_matches(cat_1, '\p{{L}}') AND regexp_matches(cat_2, '\p{{L}}') AND
 r AS (SELECT mo, a, b, c, e FROM x GROUP BY 1, 2, 3, 4, 5 HAVING count(DISTINCT record_no) < 3)
 SELECT min(x.row_id) AS row_id FROM x JOIN r ON x.mo = r.mo AND x.a = r.a AND x.b = r.b AND x.c = r.c AND x.e = r.e GROUP BY x.mo, x.a, x.b, x.c, x.e, x.record_no
 """,
+        "p5_found": _NEAR.format("is_probe") + "SELECT DISTINCT least(qid, id) AS row_id_a, greatest(qid, id) AS row_id_b FROM k",
+        "p5_neighbours": _NEAR.format("row_id % 50 = 0") + "SELECT qid AS row_id, id AS neighbour, round(sqrt(d2), 6) AS dist, rank::INTEGER AS rank FROM k",
         "p4_found": _PCT + f"SELECT q.table_name, grp, pct, {bins}",
         "p4_percentiles": _PCT + f"SELECT q.table_name, grp, pct, value, {bins}",
     }

@@ -59,10 +59,16 @@ def _density(mass: np.ndarray, square: np.ndarray, width: int) -> np.ndarray:
     return mass / (math.pi ** (width / 2) / math.gamma(width / 2 + 1) * radius**width)
 
 
-def _centres(points: DataFrame, names: list[str], mean: float) -> int:
+def mean_density(points: DataFrame, space: Space) -> float:
+    """Rows per unit of volume over the extent of the data."""
+    return (points.agg(F.sum("n")).first()[0] or 0.0) / float(np.prod([max(x, 4 * CELL) for x in space.extent]))
+
+
+def centres_for(points: DataFrame, space: Space) -> int:
     """How many centres the data ask for: PER_CELL for every coarse cell of more than DENSE times the mean density, whatever the number of rows."""
+    names = [f"z{i}" for i in range(len(space.numbers))]
     by = [F.floor(F.col(c) / COARSE).alias(f"g{i}") for i, c in enumerate(names)]
-    full = points.groupBy(*by).agg(F.sum("n").alias("n")).where(F.col("n") > DENSE * mean * COARSE ** len(names)).count()
+    full = points.groupBy(*by).agg(F.sum("n").alias("n")).where(F.col("n") > DENSE * mean_density(points, space) * COARSE ** len(names)).count()
     return min(max(PER_CELL * full, FEWEST), MOST)
 
 
@@ -117,12 +123,11 @@ def fit_segments(df: DataFrame, numbers: list[str], category: Column, k: int | N
     d = len(numbers)
     names = [f"z{i}" for i in range(d)]
     points = summarise(df, space, category)
-    n = points.agg(F.sum("n")).first()[0]
+    mean = mean_density(points, space)
     nothing = Segments(space, np.zeros((0, d)), np.zeros(0), np.zeros(0), np.zeros((0, BUCKETS + 1), int))
-    if not n:
+    if not mean:
         return nothing
-    mean = n / np.prod([max(x, 4 * CELL) for x in space.extent])
-    k = k or _centres(points, names, mean)
+    k = k or centres_for(points, space)
     bare = replace(space, weight=0.0)
 
     def numeric(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

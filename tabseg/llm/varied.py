@@ -17,17 +17,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabseg.llm.cluster import centres_for
 from tabseg.llm.percentiles import ranked_values
 from tabseg.llm.vectors import bucket_of, fit_space, minibatch_kmeans, nearest, standardised, summarise
 from tabseg.session import broadcast_if_small, hash32, materialise
 
-#: Clusters, of which every scope has its own counts.
-CLUSTERS = 64
+#: Most clusters; how many are asked for follows from the data (cluster.centres_for). Every scope has its own counts of them.
+CLUSTERS = 256
 #: Records below which a combination is rare and kept whole.
 RARE = 3
 
 
-def strata(df: DataFrame, id_col: str, record: str, scope: Column, period: Column, combination: list[Column], numbers: list[str], category: Column, k: int = CLUSTERS, seed: int = 6) -> DataFrame:
+def strata(df: DataFrame, id_col: str, record: str, scope: Column, period: Column, combination: list[Column], numbers: list[str], category: Column, k: int | None = None, seed: int = 6) -> DataFrame:
     """id, scope, stratum, rare: one row per record and combination (the smallest id), stored.
 
     combination: its parts; where one is null the record has no combination and only belongs to a cluster.
@@ -44,12 +45,12 @@ def strata(df: DataFrame, id_col: str, record: str, scope: Column, period: Colum
     names = [f"z{i}" for i in range(len(numbers))]
     z = df.select(F.col(id_col).alias("id"), own.alias("record"), scope.alias("scope"), period.alias("period"), combo.alias("combo"), bucket_of(category).alias("bucket"), *[F.coalesce(f, F.lit(0.0)).alias(n) for f, n in zip(filled, names)])
     # one row per record, scope, period and combination
-    one = z.groupBy("record", "scope", "period", "combo").agg(F.min(F.struct("id", "bucket", *names)).alias("r")).select("record", "scope", "period", "combo", "r.*")
-    one = materialise(one)
+    # values of fixed width, so that hashing aggregates them, not sorting
+    one = materialise(z.groupBy("record", "scope", "period", "combo").agg(F.min("id").alias("id"), *[F.min_by(c, "id").alias(c) for c in ("bucket", *names)]))
     few = one.where(F.col("combo").isNotNull()).groupBy("period", "combo", "record").agg(F.min("id").alias("id")).groupBy("period", "combo").agg(F.count("*").alias("records"))
     few = broadcast_if_small(materialise(few.where(F.col("records") < RARE).select("period", "combo", F.lit(True).alias("rare"))))
     points = _points(one, names)
-    centres = minibatch_kmeans(points, space, k, seed=seed)
+    centres = minibatch_kmeans(points, space, k or min(centres_for(points, space), CLUSTERS), seed=seed)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
