@@ -4,8 +4,8 @@ Texts of a batch are laid end to end as arrays of code points and bytes. Each co
 from a table; piece boundaries follow from comparing the classes of neighbouring code points, in place of
 associative scans of a transition function, and contractions are patched by index, so no regular
 expression is used. Pieces are keyed by their bytes, looked up once per distinct piece in a cache of
-merged pieces, and the ids are gathered by offset. Piece offsets are kept (`Pieces.starts`), so that
-tokens can be mapped back to the text.
+merged pieces, and the ids are gathered by offset; merging an unseen piece is pair merging over a heap. `token_offsets` gives the
+place of each token in its text, `decode_corpus` the text of ids.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ import base64
 import os
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -94,16 +95,39 @@ def offsets8(points: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(width)))
 
 
+def merge_pairs(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of a piece: of all neighbouring parts those whose union has the lowest rank (the leftmost of equal ones) merge, until none has a rank."""
+    n = len(piece)
+    end, before = list(range(1, n + 1)), list(range(-1, n))  # end of the part that starts at i (0: merged away), start of the part before it
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(piece[i : i + 2])) is not None]
+    heapify(heap)
+    while heap:
+        _, i, stop = heappop(heap)
+        j = end[i]
+        if not j or j >= n or end[j] != stop:
+            continue  # one of the two has merged with another part meanwhile
+        end[i], end[j] = stop, 0
+        if stop < n:
+            before[stop] = i
+            if (r := ranks.get(piece[i : end[stop]])) is not None:
+                heappush(heap, (r, i, end[stop]))
+        if i and (r := ranks.get(piece[before[i] : stop])) is not None:
+            heappush(heap, (r, before[i], stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[piece[i : end[i]]])
+        i = end[i]
+    return out
+
+
 class Encoder:
-    """Encodes batches of texts with the vocabulary of a .tiktoken file."""
+    """Encodes batches of texts with the vocabulary of a .tiktoken file, and decodes ids."""
 
     def __init__(self, folder: str = VOCABULARIES, name: str = "byte_bpe_50k") -> None:
-        import tiktoken
-
         with open(os.path.join(folder, f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.ranks = ranks
-        self.merge = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.bytes: list[bytes] | None = None
         self.forget()
 
     def forget(self) -> None:
@@ -115,7 +139,7 @@ class Encoder:
 
     def _learn(self, key: object, piece: bytes) -> int:
         rank = self.ranks.get(piece)
-        ids = self.merge(piece) if rank is None else [rank]
+        ids = merge_pairs(piece, self.ranks) if rank is None else [rank]
         at, k = self.used, len(self.known)
         if at + len(ids) > len(self.ids):
             self.ids = np.concatenate((self.ids, np.zeros(max(len(self.ids), len(ids)), np.int32)))
@@ -188,6 +212,26 @@ class Encoder:
             counts[held] = np.bincount(text, weights=size, minlength=len(some))
         return np.concatenate(out) if out else np.zeros(0, np.int32), counts
 
+    def offsets(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Per text the code point at which the piece of each token starts; tokens of one piece share it."""
+        out = [np.zeros(0, np.int64) for _ in texts]
+        for some, held in self.batches(texts):
+            piece, starts, text = self.pieces(some)
+            size = self.size[piece]
+            begin = np.concatenate(([0], np.cumsum([len(t) for t in some])[:-1]))
+            at, of = np.repeat(starts - begin[text], size), np.repeat(text, size)
+            for k, i in enumerate(held):
+                out[i] = at[of == k]
+        return out
+
+    def decode(self, ids: Iterable[int]) -> str:
+        """The text of ids; bytes that are no UTF-8 (cut sequences of ids) become replacement characters."""
+        if self.bytes is None:
+            self.bytes = [b""] * (max(self.ranks.values()) + 1)
+            for piece, rank in self.ranks.items():
+                self.bytes[rank] = piece
+        return b"".join([self.bytes[i] for i in ids]).decode("utf-8", "replace")
+
     def sizes(self, texts: list[str | None]) -> np.ndarray:
         counts = np.zeros(len(texts), np.int64)
         for some, held in self.batches(texts):
@@ -220,6 +264,30 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", folder: str = VOCABULARIES, name: str = "byte_bpe_50k") -> DataFrame:
+    """One row per row: its id and `text`, the text that its ids stand for; empty ids give an empty text, null ids null. No shuffle."""
+    schema = T.StructType([encoded.schema[id_col], T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(folder, name)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else enc.decode(x) for x in b.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
+
+    return encoded.select(id_col, ids_col).mapInArrow(run, schema)
+
+
+def token_offsets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str = VOCABULARIES, name: str = "byte_bpe_50k") -> DataFrame:
+    """One row per document: its id and `starts`, the code point at which the piece of each token starts (as many as ids). No shuffle."""
+    schema = T.StructType([docs.schema[id_col], T.StructField("starts", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(folder, name)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.offsets(b.column(1).to_pylist()), pa.list_(pa.int64()))], names=[id_col, "starts"])
+
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
+
+
 def token_sizes(docs: DataFrame, keep: list[str], text_col: str = "text", folder: str = VOCABULARIES, name: str = "byte_bpe_50k") -> DataFrame:
     """The columns `keep` and `tokens`, the number of tokens of the text (0 for null and empty texts)."""
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("tokens", T.LongType())])

@@ -17,6 +17,20 @@ def test_trie_bursts_and_keeps_counts():
     assert {k: v[1] for k, v in got.items()} == dict(Counter(words)) and t.terms == len(got) and isinstance(t.root, frequency.Node)
 
 
+def test_subtrees_merge_to_the_same_counts():
+    rng = np.random.default_rng(7)
+    words = ["".join(rng.choice(list("abc"), rng.integers(0, 9))) for _ in range(6000)]
+    whole = frequency.BurstTrie(16)
+    for i, size in enumerate((4, 64, 16)):  # tries of other depths
+        part = frequency.BurstTrie(size)
+        for w in words[i::3]:
+            part.add(w, 2, 1)
+        for prefix, counts in part.subtrees():
+            whole.graft(prefix, counts)
+    got = {p + s: c for p, held in whole.subtrees() for s, c in held.items()}
+    assert {k: v[1] for k, v in got.items()} == dict(Counter(words)) and whole.terms == len(got)
+
+
 def test_counts_equal_brute_force_over_routes(spark):
     rng = np.random.default_rng(1)
     rows = [("c" if i % 3 else "d", "hot" if i % 3 == 1 else f"common-prefix-{rng.integers(0, 300)}", str(rng.integers(0, 200))) for i in range(6000)] + [("c", None, "1"), ("c", "alone", None), ("c", "", "1")]

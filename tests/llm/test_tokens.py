@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tabseg.llm.tokens import VOCABULARIES, Encoder, encode_corpus, token_sizes
+from tabseg.llm.tokens import VOCABULARIES, Encoder, decode_corpus, encode_corpus, token_offsets, token_sizes
 
 tiktoken = pytest.importorskip("tiktoken")
 #: Fixed value: the pre-tokenisation pattern of the public vocabulary.
@@ -49,3 +49,19 @@ def test_frames(spark):
     assert got == [(1, [15496, 995]), (2, []), (3, []), (3, [])]
     assert sorted((r["doc_id"], r["tokens"]) for r in token_sizes(df, ["doc_id"]).collect()) == [(1, 2), (2, 0), (3, 0), (3, 0)]
     assert encode_corpus(df.limit(0)).count() == 0
+
+
+def test_round_trip_and_offsets(spark):
+    texts = ["Hello  world's ½ 漢字 😀\n\n x", "", None, "a" * 500 + " b", "tab\tline\n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    ids = encode_corpus(df)
+    back = {r["doc_id"]: r["text"] for r in decode_corpus(ids).collect()}
+    assert back == {i: t or "" for i, t in enumerate(texts)}
+    sizes, e = {r["doc_id"]: r["ids"] for r in ids.collect()}, Encoder(VOCABULARIES)
+    for r in token_offsets(df).collect():
+        text, at, own = texts[r["doc_id"]] or "", r["starts"], sizes[r["doc_id"]]
+        assert len(at) == len(own) and at == sorted(at)
+        for i, start in enumerate(at):  # the ids from a piece's start to the next one are the piece
+            if not i or at[i - 1] != start:
+                stop = next((x for x in at[i:] if x != start), len(text))
+                assert e.decode(own[i : i + at.count(start)]) == text[start:stop]
