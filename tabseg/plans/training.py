@@ -12,8 +12,9 @@ from tabseg.session import read
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    f = fill_titanic(read(spark, d, "titanic"), read(spark, d, "ports"))
-    return f.where((F.col("level") == "group") & (2 * F.col("agreeing_rows") > F.col("group_rows"))).select(F.col("id").alias("row_id"), "field", "fill")
+    """The model's fills where more than half of a group agree; the exact check that follows puts the agreed value where the model's differs."""
+    f = fill_titanic(read(spark, d, "titanic"), read(spark, d, "ports")).where(F.col("agreed").isNotNull())
+    return f.select(F.col("id").alias("row_id"), "field", F.when(F.col("fill") == F.col("agreed"), F.col("fill")).otherwise(F.col("agreed")).alias("fill"))
 
 
 def p1_filled(spark: SparkSession, d: str) -> DataFrame:
