@@ -45,3 +45,50 @@ def test_queries_on_odd_tables(spark, edges, kind):
     for name, q in training.queries().items():
         n = q(spark, edges[kind]).count()
         assert n == 0 if kind == "empty" else n >= 0, name
+
+
+def test_held_out_values_are_predicted(spark):
+    """Stated values are hidden and predicted: the error lies below that of the mean, and near the noise that was put in; categories beat the most frequent one."""
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    parent, time = rng.normal(0, 6, 12), rng.normal(0, 3, 10)
+    rows, truth = [], {}
+    for i in range(2400):
+        p, t = int(rng.integers(0, 12)), int(rng.integers(0, 10))
+        level = 40 + parent[p] + time[t] + rng.normal(0, 1.0)
+        c = "ABC"[(p + (rng.random() < 0.1)) % 3]
+        hide = i % 6 == 0
+        truth[i] = (level, c)
+        rows.append((i, None if hide else float(level), None if hide else c, f"g{i}", f"p{p}", f"t{t}"))
+    df = spark.createDataFrame(rows, ROWS)
+    got = {r["id"]: r for r in fill_numeric(df, "id", "v", F.col("v"), [F.col("g")], F.col("p"), F.col("t")).collect()}
+    error = np.sqrt(np.mean([(got[i]["predicted"] - truth[i][0]) ** 2 for i in got]))
+    spread = np.std([truth[i][0] for i in got])
+    assert len(got) == 400 and error < 1.25 and error < 0.3 * spread
+    said = {r["id"]: r for r in fill_category(df, "id", "c", F.col("c"), [F.col("g")], F.col("p"), F.col("t")).collect()}
+    assert np.mean([said[i]["fill"] == truth[i][1] for i in said]) > 0.85
+
+
+def test_multinomial_meets_its_margins(spark):
+    from tabseg.operators.fill import _multinomial
+
+    rows = [(p, t, v, float(n)) for (p, t), by in {("a", "1"): (30, 5, 5), ("a", "2"): (10, 20, 10), ("b", "1"): (5, 30, 5), ("b", "2"): (2, 28, 30), (None, "1"): (4, 4, 4)}.items() for v, n in zip("xyz", by)]
+    cells = spark.createDataFrame(rows, "p string, t string, v string, c double")
+    total = sum(r[3] for r in rows)
+    share = cells.groupBy("v").agg((F.sum("c") / total).alias("all_share"))
+    chance = share.agg(F.sum(F.col("all_share") ** 2)).first()[0]
+    got = {(r["p"], r["t"], r["v"]): r["prior"] for r in _multinomial(cells, share, chance).collect()}
+    assert len(got) == 15
+    for p, t in {(r[0], r[1]) for r in rows}:
+        assert abs(sum(got[p, t, v] for v in "xyz") - 1) < 1e-9
+    # the parents' margins: shares of a's rows by the model against the shrunk shares
+    n = {k: sum(r[3] for r in rows if (r[0], r[1]) == k) for k in {(r[0], r[1]) for r in rows}}
+    said = sum(n["a", t] * got["a", t, "x"] for t in "12") / (n["a", "1"] + n["a", "2"])
+    assert abs(said - 40 / 80) < 0.06
+
+
+def test_group_levels_are_robust(spark):
+    rows = [(i * 10 + j, float(20 + i + (30 if j == 0 and i % 7 == 0 else 0)), None, f"g{i}", "p", "t") for i in range(40) for j in range(3)] + [(9000 + i, None, None, f"g{i}", "p", "t") for i in range(40)]
+    got = numeric(spark, rows)
+    assert all(got[9000 + i]["fill"] == f"{20 + i}.0" == got[9000 + i]["agreed"] for i in range(40))

@@ -97,3 +97,35 @@ def test_preprocessor(spark):
     assert p.names() == ["x", "c=a", "c=b", "c=__missing__", "x__missing", "c__missing"]
     rows = {r["id"]: r for r in p.transform(df, ["id"]).collect()}
     assert rows[2]["x"] == 0.0 and rows[3]["c=__missing__"] == 1.0 and rows[2]["x__missing"] == 1.0
+
+
+def test_identifiers_by_name(spark):
+    rows = [(i, i, i % 40) for i in range(200)]
+    got = profile.detect_types(spark.createDataFrame(rows, "userid int, itemidx int, level int"), ["userid", "itemidx", "level"])
+    assert got["userid"] == got["itemidx"] == "numerical" and profile.classify("ItemID", "int", 200, 60, True, 0.0, profile.Detection()) == "numerical"
+
+
+def test_density_of_weighted_points(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate((rng.normal(-3, 0.5, 3000), rng.normal(3, 0.5, 3000)))
+    v, n = cuts.weighted_points(spark.createDataFrame([(float(a),) for a in x], "x double"), "x")
+    assert n.sum() == 6000 and abs((v * n).sum() / 6000 - x.mean()) < 1e-9
+    got, how = cuts.density_cuts(v, 1, rng, n=n)
+    assert how == "kde" and -1 < got[0] < 1 and cuts.weighted_points(spark.createDataFrame([(None,)], "x double"), "x")[0].size == 0
+
+
+def test_codes_and_ranks_over_spans(spark, monkeypatch):
+    monkeypatch.setattr(encode, "SPAN_VALUES", 7)
+    monkeypatch.setattr(weights, "SPAN_VALUES", 7)
+    df = spark.createDataFrame([(f"v{i % 50:02d}", float((i * 37) % 90) ** 3) for i in range(300)], "c string, x double")
+    assert {r["value"]: r["code"] for r in encode.category_codes(df, "c").collect()} == {f"v{i:02d}": i for i in range(50)}
+    x = np.array([r["x"] for r in df.collect()])
+    got = {r["v"]: r["rank"] for r in weights.average_ranks(df, "x").collect()}
+    assert got == {v: (x < v).sum() + ((x == v).sum() + 1) / 2 for v in set(x)}
+
+
+def test_normaliser(spark):
+    df = spark.createDataFrame([(i, str(i) if i % 4 else None, "a" if i < 8 else f"r{i}") for i in range(12)], "id int, n string, c string")
+    t = encode.Normaliser({"n": "numerical", "c": "categorical"}, True, 3).fit(df)
+    got = {r["id"]: r for r in t.transform(df, ["id"]).collect()}
+    assert got[5]["n"] == 5.0 and got[0]["n"] is None and got[0]["n__missing"] == "1" and got[1]["n__missing"] == "0" and got[9]["c"] == encode.RARE and got[1]["c"] == "a" and "c__missing" not in got[0].asDict()

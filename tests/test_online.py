@@ -31,3 +31,26 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id bigint, x double").parquet(str(tmp_path / "in"))
     online.start(stream, o, str(tmp_path / "state")).awaitTermination()
     assert o.stored(spark).count() == 30 and len(o.reports) == 1
+
+
+def test_repeat_and_restart(spark, tmp_path):
+    """A batch that is delivered twice counts once; a stopped stream goes on with the model it had."""
+
+    def write(k):
+        spark.createDataFrame([(k * 100 + i, float(i % 5) + 40 * (i % 2)) for i in range(30)], "id bigint, x double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run():
+        o = online.OnlineSegmenter(ForestSegmenter(n_iterations=4, n_clusters=2, clusterer="agglomerative"), "id", "never", path=str(tmp_path / "online"))
+        stream = spark.readStream.schema("id bigint, x double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        online.start(stream, o, str(tmp_path / "state")).awaitTermination()
+        return o
+
+    write(0)
+    first = run()
+    edges = first.segmenter.spec.edges
+    write(1)
+    second = run()
+    assert sorted(second.batches) == [0, 1] and second.segmenter.spec.edges == edges and second.running["x"].count == 60
+    again = spark.createDataFrame([(100 + i, float(i % 5) + 40 * (i % 2)) for i in range(30)], "id bigint, x double")
+    assert second.partial_fit(again, 1)["rows"] == 30 and second.running["x"].count == 60 and second.stored(spark).count() == 60
+    assert {r["id"] % 2: r["label"] for r in second.labels(spark).collect()}.keys() == {0, 1} and second.labels(spark).select("label").distinct().count() == 2
