@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,6 +39,10 @@ def synthetic(df: DataFrame, id_col: str, numeric: list[str], categorical: list[
     return out.select(id_col, *numeric, *categorical)
 
 
+#: Column that tells real (1) from synthetic (0) rows; no feature may be called so.
+REAL = "__real"
+
+
 @dataclass
 class RandomForestLeaves:
     """Leaves of an unsupervised random forest: a classifier of real (1) against synthetic (0) rows; similar rows share leaves."""
@@ -52,9 +59,9 @@ class RandomForestLeaves:
         from pyspark.ml.classification import RandomForestClassifier
 
         real = df.select(id_col, *self.numeric, *self.categorical)
-        both = materialise(real.withColumn("y", F.lit(1.0)).unionByName(synthetic(real, id_col, self.numeric, self.categorical, self.kind, self.seed).withColumn("y", F.lit(0.0))))
+        both = materialise(real.withColumn(REAL, F.lit(1.0)).unionByName(synthetic(real, id_col, self.numeric, self.categorical, self.kind, self.seed).withColumn(REAL, F.lit(0.0))))
         self.prep = Preprocessor(self.numeric, self.categorical).fit(both)
-        self.model = RandomForestClassifier(numTrees=self.trees, maxDepth=min(self.depth, 30), minInstancesPerNode=self.min_leaf, seed=self.seed, labelCol="y", featuresCol="features", leafCol="leaf").fit(self._vectors(both, [F.col("y")]))
+        self.model = RandomForestClassifier(numTrees=self.trees, maxDepth=min(self.depth, 30), minInstancesPerNode=self.min_leaf, seed=self.seed, labelCol=REAL, featuresCol="features", leafCol="leaf").fit(self._vectors(both, [F.col(REAL)]))
         return self
 
     def _vectors(self, df: DataFrame, keep: list[Column]) -> DataFrame:
@@ -91,15 +98,15 @@ class ExtraTrees:
 
     def fit(self, df: DataFrame, id_col: str) -> ExtraTrees:
         real = df.select(id_col, *self.numeric, *self.categorical)
-        both = materialise(real.withColumn("y", F.lit(1.0)).unionByName(synthetic(real, id_col, self.numeric, self.categorical, self.kind, self.seed).withColumn("y", F.lit(0.0))))
+        both = materialise(real.withColumn(REAL, F.lit(1.0)).unionByName(synthetic(real, id_col, self.numeric, self.categorical, self.kind, self.seed).withColumn(REAL, F.lit(0.0))))
         self.prep = Preprocessor(self.numeric, self.categorical).fit(both)
         names = self.prep.names()
-        x = materialise(both.select("y", F.array(*self.prep.columns()).alias("x")))
+        x = materialise(both.select(F.col(REAL).alias("y"), F.array(*self.prep.columns()).alias("x")))
         m = max(int(len(names) ** 0.5), 1)
         self.splits = {}
         for level in range(self.depth):
-            node = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), self._node(t, "x").alias("node")) for t in range(self.trees)]))
-            at = x.select("y", "x", node.alias("n")).select("y", "x", "n.t", "n.node").where((F.col("node") >= 2**level) & (F.col("node") < 2 ** (level + 1)))
+            placed = self._nodes(x, ["y", "x"], "x").select("y", "x", F.posexplode("cells").alias("t", "node"))
+            at = placed.where((F.col("node") >= 2**level) & (F.col("node") < 2 ** (level + 1)))
             # the m features of the node with the smallest hash
             key = F.concat_ws(":", "t", "node")
             order = F.array_sort(F.array(*[F.struct(hash32(key, f"{self.seed}:{i}").alias("h"), F.lit(i).alias("i")) for i in range(len(names))]))
@@ -124,18 +131,29 @@ class ExtraTrees:
             self.splits |= {(r["t"], r["node"]): (r["i"], r["cut"]) for r in best}
         return self
 
-    def _node(self, tree: int, x: str) -> Column:
-        def walk(node: int) -> Column:
-            if (tree, node) not in self.splits:
-                return F.lit(node).cast("bigint")
-            i, cut = self.splits[tree, node]
-            return F.when(F.get(x, F.lit(i)) <= F.lit(cut), walk(2 * node)).otherwise(walk(2 * node + 1))
-
-        return walk(1)
+    def _nodes(self, df: DataFrame, keep: list[str], x: str) -> DataFrame:
+        """keep and cells: the node that each row has reached in every tree, looked up level by level in arrays of the splits."""
+        feature, cut = np.full((self.trees, 2 ** (self.depth + 1)), -1), np.zeros((self.trees, 2 ** (self.depth + 1)))
+        for (t, node), (i, c) in self.splits.items():
+            feature[t, node], cut[t, node] = i, c
+        trees, depth = np.arange(self.trees)[None], self.depth
+        columns = list(dict.fromkeys([*keep, x]))
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", cells array<bigint>"
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                if len(b):
+                    v, rows = np.stack(b[x].to_numpy()).astype(float), np.arange(len(b))[:, None]
+                    node = np.ones((len(b), trees.shape[1]), np.int64)
+                    for _ in range(depth):
+                        f = feature[trees, node]
+                        node = np.where(f >= 0, 2 * node + (v[rows, np.maximum(f, 0)] > cut[trees, node]), node)
+                    yield b[keep].assign(cells=list(node))
+
+        return df.select(*columns).mapInPandas(run, schema)
 
     def leaves(self, df: DataFrame, id_col: str) -> DataFrame:
-        x = df.select(id_col, F.array(*self.prep.columns()).alias("__x"))
-        return x.select(id_col, F.array(*[self._node(t, "__x") for t in range(self.trees)]).alias("cells"))
+        return self._nodes(df.select(id_col, F.array(*self.prep.columns()).alias("__x")), [id_col], "__x")
 
 
 @dataclass

@@ -122,7 +122,7 @@ def segment_kmeans(spark: SparkSession, d: str) -> DataFrame:
 def segment_predict(spark: SparkSession, d: str) -> DataFrame:
     """Segments of rows with even ids by a model fitted on those with odd ids."""
     t = planted(spark, d).drop("g")
-    return community.renumber(segment.ForestSegmenter(n_iterations=16, n_clusters=3, cut="quantile").fit(t.where("id % 2 = 1"), "id").predict(t.where("id % 2 = 0"), "id"))
+    return community.renumber(segment.ForestSegmenter(n_iterations=16, n_clusters=3, clusterer="agglomerative", cut="quantile").fit(t.where("id % 2 = 1"), "id").predict(t.where("id % 2 = 0"), "id"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{how}' AS how, g.* FROM ({GROUPS}) g" for how in ("contrastive", "correlation aware", "distances", "normalised", "onehot")))

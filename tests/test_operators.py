@@ -240,6 +240,10 @@ def test_forests(spark):
         p = pairs.proximity(leaves, "id").collect()
         same = np.mean([r["proximity"] for r in p if truth[r["i"]] == truth[r["j"]]])
         assert same > np.mean([r["proximity"] for r in p if truth[r["i"]] != truth[r["j"]]]) + 0.2
+    # a feature may have any name, that of the label among them
+    named = df.withColumnRenamed("age", "y").withColumnRenamed("fare", "x")
+    own = forests.RandomForestLeaves(["y", "x"], ["sex"], trees=4, depth=4, min_leaf=2).fit(named, "id")
+    assert abs(own.prep.centre["y"][0] - 42.5) < 1.5
     box = forests.synthetic(df, "id", ["age"], ["sex"], "uniform_box")
     assert box.count() == 80 and {r[0] for r in box.select("sex").distinct().collect()} <= {"female", "male"}
 
