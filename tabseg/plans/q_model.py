@@ -137,7 +137,7 @@ def segmenter_settings(spark: SparkSession, d: str) -> DataFrame:
         "onehot": dict(cluster_input="onehot", clusterer=_vectors_kmeans, n_iterations=16),
     }
     for how, settings in ways.items():
-        one = community.renumber(segment.ForestSegmenter(**settings).fit(x, "id").labels_).select(F.lit(how).alias("how"), "id", "label")
+        one = community.renumber(segment.ForestSegmenter(**settings, kinds={"x": "numerical", "y": "numerical", "c": "categorical"}).fit(x, "id").labels_).select(F.lit(how).alias("how"), "id", "label")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -149,7 +149,7 @@ def _both(p: DataFrame) -> DataFrame:
 def _vectors_kmeans(v: DataFrame) -> DataFrame:
     from pyspark.ml.clustering import KMeans
 
-    return KMeans(k=3, seed=1, predictionCol="label").fit(v).transform(v).select("id", "label")
+    return KMeans(k=3, seed=1, initSteps=5, predictionCol="label").fit(v).transform(v).select("id", "label")
 
 
 @query("WITH t AS (SELECT s_suppkey AS id, s_suppkey % 4 AS g FROM supplier), r AS (SELECT g, row_number() OVER (ORDER BY min(id)) - 1 AS label FROM t GROUP BY 1) SELECT id, label::INTEGER AS label FROM t JOIN r USING (g)")
