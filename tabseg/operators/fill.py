@@ -7,7 +7,8 @@ robust form of that: with errors and group effects of Laplace's kind the most pr
 rows and of the expected value, which counts as sqrt(within / between) rows. So a group whose rows mostly hold one value gives that
 value, and a group that says little is drawn to what parent and time make expect. Categories follow a multinomial model
 with effects of parent and time, fitted by iterative proportional scaling to margins that are shrunk towards the overall shares; it serves as
-the Dirichlet prior of the group's own counts, and the value of largest posterior share is filled in.
+the Dirichlet prior of the group's own counts, and the value of largest posterior share is filled in. An exact check follows: where more than half
+of a group's stated rows hold one value and the model would fill in another, that value is taken.
 
 All statistics are sums per key, pre-aggregated before any shuffle, so that a key which holds a third of
 the rows costs no more than any other. Only the distinct values of a group pass through one task (in order, and on disk where they
@@ -110,7 +111,7 @@ def fill_numeric(df: DataFrame, id_col: str, field: str, value: Column, group: l
     predicted = F.col("expect") + F.when(known, F.col("s") / (F.col("n") + F.lit(ratio))).otherwise(0.0)
     level = F.when(known & F.col("holds"), F.least(F.greatest("expect", "low"), F.coalesce("high", F.lit(float("inf"))))).otherwise(F.col("expect"))
     return gaps.select(
-        "id", F.lit(field).alias("field"), F.format_string(f"%.{decimals}f", level).alias("fill"), predicted.alias("predicted"),
+        "id", F.lit(field).alias("field"), F.format_string(f"%.{decimals}f", F.coalesce("most", level)).alias("fill"), predicted.alias("predicted"),
         F.lit(True).alias("filled"), F.when(known, "group").when(F.col("p_effect").isNotNull() | F.col("t_effect").isNotNull(), "parent").otherwise("overall").alias("level"),
         F.coalesce(F.col("n"), F.lit(0)).alias("group_rows"), F.coalesce(F.col("top"), F.lit(0)).alias("agreeing_rows"), F.when(F.col("most").isNotNull(), F.format_string(f"%.{decimals}f", "most")).alias("agreed"),
     )
@@ -170,7 +171,7 @@ def fill_category(df: DataFrame, id_col: str, field: str, value: Column, group:
     fill = F.when(known & placed & (outside > F.col("post")), F.col("best")).when(known, F.col("v")).when(placed, F.col("best")).otherwise(F.lit(first["v"]))
     sure = F.when(known, F.greatest("post", F.coalesce(outside, F.lit(0.0)))).when(placed, F.col("best_prior")).otherwise(F.lit(float(first["all_share"])))
     return found.select(
-        "id", F.lit(field).alias("field"), fill.alias("fill"), sure.alias("predicted"), F.lit(True).alias("filled"),
+        "id", F.lit(field).alias("field"), F.coalesce("most", fill).alias("fill"), sure.alias("predicted"), F.lit(True).alias("filled"),
         F.when(known, "group").when(placed, "parent").otherwise("overall").alias("level"), F.coalesce(F.col("n"), F.lit(0)).alias("group_rows"), F.coalesce(F.col("top"), F.lit(0)).alias("agreeing_rows"), F.col("most").alias("agreed"),
     )
 
