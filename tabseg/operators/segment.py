@@ -20,10 +20,16 @@ from tabseg.session import broadcast_if_small, materialise
 
 #: Distinct rows up to which average linkage is computed.
 LINKAGE_ROWS = 5000
+#: Starts of k-means on cells, of which the one with the least cost counts.
+STARTS = 10
 
 
 def kmeans_cells(cells: DataFrame, id_col: str, k: int, weights: np.ndarray | None, seed: int = 42, weight_col: str | None = None):
-    """(labels (id, label), model): k-means on one-hot cells, whose squared distances are Hamming distances. k <= 1: one cluster."""
+    """(labels (id, label), model): k-means on one-hot cells, whose squared distances are Hamming distances. k <= 1: one cluster.
+
+    Cells of different groups are hardly farther apart than cells of one loose group, so a single start often takes two centres from one group
+    and merges two others. Hence several starts over all rows: the least sum of squared distances wins, the first of equal ones.
+    """
     from pyspark.ml.clustering import KMeans
 
     keep = [weight_col] if weight_col else []
@@ -31,7 +37,8 @@ def kmeans_cells(cells: DataFrame, id_col: str, k: int, weights: np.ndarray | No
     k = min(k, x.count())
     if k <= 1:
         return x.select("id", F.lit(0).alias("label")), None
-    model = KMeans(k=k, seed=seed, maxIter=20, initSteps=5, featuresCol="features", predictionCol="label", **({"weightCol": weight_col} if weight_col else {})).fit(x)
+    one = KMeans(k=k, maxIter=20, initSteps=5, featuresCol="features", predictionCol="label", **({"weightCol": weight_col} if weight_col else {}))
+    model = min((one.setSeed(s).fit(x) for s in [seed, *(spec.hash32_int(f"{seed}:{i}") for i in range(1, STARTS))]), key=lambda m: m.summary.trainingCost)
     return model.transform(x).select("id", F.col("label").cast("int").alias("label")), model
 
 

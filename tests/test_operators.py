@@ -248,6 +248,16 @@ def test_forests(spark):
     assert box.count() == 80 and {r[0] for r in box.select("sex").distinct().collect()} <= {"female", "male"}
 
 
+def test_kmeans_of_loose_groups(spark):
+    """Loose groups without common cells are found, also from seeds with which a single start merges two of them."""
+    rng = np.random.default_rng(0)
+    rows = [[i % 3 * 100 + (0 if rng.random() < 0.6 else 1 + rng.integers(12)) for _ in range(20)] for i in range(300)]
+    x = cells(spark, rows).coalesce(1)
+    for seed in (0, 1):
+        got = segment.kmeans_cells(x, "id", 3, None, seed)[0].collect()
+        assert len({(r["id"] % 3, r["label"]) for r in got}) == 3
+
+
 def test_shuffle_keeps_values(spark):
     df = spark.createDataFrame([(i, float(i) if i % 5 else None, i) for i in range(100)], "id bigint, x double, y int")
     got = importance.shuffle_column(df, "id", "x", "s").collect()
