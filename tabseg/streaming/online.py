@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tabseg.functions.profile import number
+from tabseg.functions.profile import kind_of, number
 from tabseg.operators.segment import ForestSegmenter
 from tabseg.session import shared_dir
 
@@ -54,6 +54,8 @@ def drift(ref: Moments, new: Moments) -> float:
 class OnlineSegmenter:
     """partial_fit: the first batch fits, later ones are embedded and appended; a rebuild draws new partitions.
 
+    Moments and drift are those of all columns of numbers, also of those that the segmenter bins as categories (few values among many rows).
+
     strategy: 'drift' (rebuild when enough columns drifted), 'periodic' (after max_rows new rows) or 'never'. All state lies in
     `path` (a folder that outlives the session; by default one of the shared folder), by batch id: rows/batch=i, state/batch=i (the batch's
     moments and report) and model/i (specification, cells and labels). A batch that is repeated after a failure writes its own state again and is
@@ -84,7 +86,7 @@ class OnlineSegmenter:
         first = self.model_of is None or self.model_of == batch_id and not self.batches
         if first:
             self._fit(spark, batch, batch_id)
-        numeric = [c for c, k in self.segmenter.kinds.items() if k == "numerical"]
+        numeric = [c for c, k in self.segmenter.kinds.items() if k == "numerical" or kind_of(batch.schema[c].dataType) in ("int", "float")]
         now = moments(batch, numeric) if numeric else {}
         reference = self._merged(numeric, self.batches[self.model_of]["seen"] if not first and self.model_of in self.batches else [])
         found = {c: 0.0 if first else drift(reference[c], now[c]) for c in numeric}
@@ -115,7 +117,7 @@ class OnlineSegmenter:
     @property
     def running(self) -> dict[str, Moments]:
         """Moments of all batches, each counted once."""
-        return self._merged([c for c, k in self.segmenter.kinds.items() if k == "numerical"], sorted(self.batches))
+        return self._merged(list(dict.fromkeys(c for i in sorted(self.batches) for c in self.batches[i]["moments"])), sorted(self.batches))
 
     def _merged(self, cols: list[str], batches: list[int]) -> dict[str, Moments]:
         out = {c: Moments() for c in cols}

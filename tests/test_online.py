@@ -25,6 +25,18 @@ def test_partial_fit_rebuilds_on_drift_only(spark):
     assert o.labels(spark).count() == 180 and o.running["x"].count == 180
 
 
+def test_numbers_of_few_values_have_moments_and_drift(spark):
+    """Five values among 200 rows count as categories for the partitions; their mean still moves."""
+
+    def batch(lo, shift):
+        return spark.createDataFrame([(lo + i, float(i % 5) + shift, "ab"[i % 2]) for i in range(200)], "id bigint, x double, c string")
+
+    o = online.OnlineSegmenter(ForestSegmenter(n_iterations=4, n_clusters=2, clusterer="agglomerative"), "id")
+    assert not o.partial_fit(batch(0, 0.0))["rebuilt"] and o.segmenter.kinds["x"] == "categorical"
+    assert not o.partial_fit(batch(200, 0.0))["rebuilt"] and o.partial_fit(batch(400, 50.0))["rebuilt"]
+    assert o.running["x"].count == 600 and math.isclose(o.running["x"].mean, 2 + 50 / 3) and o.running.keys() == {"x"}
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(i, float(i % 5)) for i in range(30)], "id bigint, x double").write.parquet(str(tmp_path / "in"))
     o = online.OnlineSegmenter(ForestSegmenter(n_iterations=4, n_clusters=2), "id", "never")
