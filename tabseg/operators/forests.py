@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tabseg.functions.encode import Preprocessor, category_codes
 from tabseg.functions.profile import kind_of
 from tabseg.operators.embed import phi
 from tabseg.operators.importance import shuffle_column
-from tabseg.session import broadcast_if_small, forget, hash32, materialise, uniform
+from tabseg.plans.spec import hash32_int
+from tabseg.session import broadcast_if_small, forget, materialise, uniform
 
 
 def synthetic(df: DataFrame, id_col: str, numeric: list[str], categorical: list[str], kind: str = "permute_marginals", seed: int = 42) -> DataFrame:
@@ -83,8 +83,8 @@ class ExtraTrees:
     """Extremely randomised trees, grown level by level over all trees at once.
 
     For every open node a few features are drawn by hash; each gets a uniformly random threshold between the
-    node's minimum and maximum, and the one with the best Gini gain splits it. A level is two aggregations; the driver holds
-    the nodes only.
+    node's minimum and maximum, and the one with the best Gini gain splits it. A level is two passes, whose tasks give
+    sums by node and feature; the driver holds the nodes only.
     """
 
     numeric: list[str]
@@ -101,54 +101,109 @@ class ExtraTrees:
         both = materialise(real.withColumn(REAL, F.lit(1.0)).unionByName(synthetic(real, id_col, self.numeric, self.categorical, self.kind, self.seed).withColumn(REAL, F.lit(0.0))))
         self.prep = Preprocessor(self.numeric, self.categorical).fit(both)
         names = self.prep.names()
-        x = materialise(both.select(F.col(REAL).alias("y"), F.array(*self.prep.columns()).alias("x")))
-        m = max(int(len(names) ** 0.5), 1)
+        d = len(names)
+        x = materialise(both.select(F.col(REAL).alias("y"), *[c.cast("double").alias(f"x{i}") for i, c in enumerate(self.prep.columns())]))
+        m = max(int(d**0.5), 1)
         self.splits = {}
         for level in range(self.depth):
-            placed = self._nodes(x, ["y", "x"], "x").select("y", "x", F.posexplode("cells").alias("t", "node"))
-            at = placed.where((F.col("node") >= 2**level) & (F.col("node") < 2 ** (level + 1)))
-            # the m features of the node with the smallest hash
-            key = F.concat_ws(":", "t", "node")
-            order = F.array_sort(F.array(*[F.struct(hash32(key, f"{self.seed}:{i}").alias("h"), F.lit(i).alias("i")) for i in range(len(names))]))
-            feature = F.explode(F.transform(F.slice(order, 1, m), lambda s: s["i"]))
-            long = at.select("y", "t", "node", "x", feature.alias("i")).select("y", "t", "node", "i", F.get("x", F.col("i")).alias("v"))
-            span = long.groupBy("t", "node", "i").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).where((F.col("lo") < F.col("hi")) & (F.col("n") >= 2 * self.min_leaf))
-            cut = materialise(span.select("t", "node", "i", (F.col("lo") + uniform(F.concat_ws(":", "t", "node", "i"), f"cut:{self.seed}") * (F.col("hi") - F.col("lo"))).alias("cut")))
-            side = long.join(broadcast_if_small(cut), ["t", "node", "i"]).groupBy("t", "node", "i", "cut").agg(
-                F.count_if(F.col("v") <= F.col("cut")).alias("nl"), F.count_if(F.col("v") > F.col("cut")).alias("nr"),
-                F.sum(F.when(F.col("v") <= F.col("cut"), F.col("y")).otherwise(0.0)).alias("yl"), F.sum(F.when(F.col("v") > F.col("cut"), F.col("y")).otherwise(0.0)).alias("yr"),
-            ).where((F.col("nl") >= self.min_leaf) & (F.col("nr") >= self.min_leaf))
-
-            def gini(y: Column, n: Column) -> Column:
-                return 2 * y * (n - y) / n
-
-            left = gini(F.col("yl"), F.col("nl")) + gini(F.col("yr"), F.col("nr"))
-            w = Window.partitionBy("t", "node").orderBy("left", "i")
-            best = side.withColumn("left", left).withColumn("r", F.row_number().over(w)).where("r = 1").select("t", "node", "i", "cut").collect()
-            forget(cut)
+            open_ = sorted((t, 2 * node + s) for t, node in best for s in (0, 1)) if level else [(t, 1) for t in range(self.trees)]
+            # a slot is a node with one of its m features, those with the smallest hash
+            slots = [(t, node, i) for t, node in open_ for i in sorted(range(d), key=lambda i: (hash32_int(f"{t}:{node}:{self.seed}:{i}"), i))[:m]]
+            span = self._per_slot(x, slots, d, level, None)
+            span = span[(span["lo"] < span["hi"]) & (span["n"] >= 2 * self.min_leaf)]
+            draws = np.array([(hash32_int(f"{t}:{node}:{i}:cut:{self.seed}") + 0.5) / 4294967296.0 for t, node, i in (slots[j] for j in span["slot"])])
+            span["cut"] = span["lo"].to_numpy() + draws * (span["hi"] - span["lo"]).to_numpy()
+            if span.empty:
+                break
+            side = self._per_slot(x, [slots[j] for j in span["slot"]], d, level, span["cut"].to_numpy())
+            side = side[(side["nl"] >= self.min_leaf) & (side["nr"] >= self.min_leaf)]
+            gini = lambda y, n: 2 * y * (n - y) / n
+            best: dict[tuple[int, int], tuple[float, int, float]] = {}
+            for j, left in zip(side["slot"], gini(side["yl"], side["nl"]) + gini(side["yr"], side["nr"])):
+                t, node, i = slots[span["slot"].iloc[j]]
+                best[t, node] = min(best.get((t, node), (np.inf, d, 0.0)), (left, i, float(span["cut"].iloc[j])))
             if not best:
                 break
-            self.splits |= {(r["t"], r["node"]): (r["i"], r["cut"]) for r in best}
+            self.splits |= {at: (i, cut) for at, (_, i, cut) in best.items()}
         return self
 
-    def _nodes(self, df: DataFrame, keep: list[str], x: str) -> DataFrame:
-        """keep and cells: the node that each row has reached in every tree, looked up level by level in arrays of the splits."""
-        feature, cut = np.full((self.trees, 2 ** (self.depth + 1)), -1), np.zeros((self.trees, 2 ** (self.depth + 1)))
+    def _per_slot(self, x: DataFrame, slots: list[tuple[int, int, int]], d: int, level: int, cuts: np.ndarray | None) -> pd.DataFrame:
+        """What the rows of each slot's node have in its feature: range and rows (lo, hi, n), or rows and real rows on both sides of its cut (nl, nr, yl, yr).
+
+        Summed up inside the tasks, so that a row leaves them in no tree.
+        """
+        walk, names = self._walk(), ["lo", "hi", "n"] if cuts is None else ["nl", "nr", "yl", "yr"]
+        by_tree: dict[int, list[np.ndarray]] = {}  # per tree and place among a node's slots: the slot of every node of the level, or -1
+        used: dict[tuple[int, int], int] = {}
+        for j, (t, node, _) in enumerate(slots):
+            r = used[t, node] = used.get((t, node), -1) + 1
+            tables = by_tree.setdefault(t, [])
+            if r == len(tables):
+                tables.append(np.full(2**level, -1))
+            tables[r][node - 2**level] = j
+        feature = np.array([i for *_, i in slots], int)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            k = len(slots)
+            lo, hi, sums = np.full(k, np.inf), np.full(k, -np.inf), np.zeros((4, k))
+            for b in batches:
+                if not len(b):
+                    continue
+                v, y = b[[f"x{i}" for i in range(d)]].to_numpy(float), b["y"].to_numpy(float)
+                nodes = walk(v)
+                for t, tables in by_tree.items():
+                    rows = np.flatnonzero(nodes[:, t] >= 2**level)
+                    for table in tables:
+                        slot = table[nodes[rows, t] - 2**level]
+                        at, slot = rows[slot >= 0], slot[slot >= 0]
+                        if not len(at):
+                            continue
+                        z = v[at, feature[slot]]
+                        if cuts is None:
+                            order = np.argsort(slot, kind="stable")
+                            slot, z = slot[order], z[order]
+                            first = np.flatnonzero(np.diff(slot, prepend=-1))
+                            lo[slot[first]] = np.fmin(lo[slot[first]], np.fmin.reduceat(z, first))
+                            hi[slot[first]] = np.fmax(hi[slot[first]], np.fmax.reduceat(z, first))
+                            sums[0] += np.bincount(slot, minlength=k)
+                        else:
+                            for side, here in enumerate((z <= cuts[slot], z > cuts[slot])):
+                                sums[side] += np.bincount(slot[here], minlength=k)
+                                sums[2 + side] += np.bincount(slot[here], y[at[here]], k)
+            out = [lo, hi, sums[0]] if cuts is None else list(sums)
+            held = np.flatnonzero(sums.sum(0))
+            yield pd.DataFrame({"slot": held} | {c: o[held] for c, o in zip(names, out)})
+
+        got = x.mapInPandas(run, "slot bigint, " + ", ".join(f"{c} double" for c in names))
+        return got.groupBy("slot").agg(*[(F.min if c == "lo" else F.max if c == "hi" else F.sum)(c).alias(c) for c in names]).orderBy("slot").toPandas()
+
+    def _walk(self) -> Callable[[np.ndarray], np.ndarray]:
+        """The node that rows of feature values have reached in every tree, looked up level by level in arrays of the splits."""
+        deep = 2 ** (max((node.bit_length() for _, node in self.splits), default=0) + 1)
+        feature, cut = np.full((self.trees, deep), -1), np.zeros((self.trees, deep))
         for (t, node), (i, c) in self.splits.items():
             feature[t, node], cut[t, node] = i, c
-        trees, depth = np.arange(self.trees)[None], self.depth
+        trees, depth = np.arange(self.trees)[None], deep.bit_length() - 2
+
+        def walk(v: np.ndarray) -> np.ndarray:
+            rows, node = np.arange(len(v))[:, None], np.ones((len(v), trees.shape[1]), np.int64)
+            for _ in range(depth):
+                f = feature[trees, node]
+                node = np.where(f >= 0, 2 * node + (v[rows, np.maximum(f, 0)] > cut[trees, node]), node)
+            return node
+
+        return walk
+
+    def _nodes(self, df: DataFrame, keep: list[str], x: str) -> DataFrame:
+        """keep and cells: the node that each row has reached in every tree."""
+        walk = self._walk()
         columns = list(dict.fromkeys([*keep, x]))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", cells array<bigint>"
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 if len(b):
-                    v, rows = np.stack(b[x].to_numpy()).astype(float), np.arange(len(b))[:, None]
-                    node = np.ones((len(b), trees.shape[1]), np.int64)
-                    for _ in range(depth):
-                        f = feature[trees, node]
-                        node = np.where(f >= 0, 2 * node + (v[rows, np.maximum(f, 0)] > cut[trees, node]), node)
-                    yield b[keep].assign(cells=list(node))
+                    yield b[keep].assign(cells=list(walk(np.stack(b[x].to_numpy()).astype(float))))
 
         return df.select(*columns).mapInPandas(run, schema)
 

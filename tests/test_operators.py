@@ -248,6 +248,14 @@ def test_forests(spark):
     assert box.count() == 80 and {r[0] for r in box.select("sex").distinct().collect()} <= {"female", "male"}
 
 
+def test_deep_trees_of_few_rows(spark):
+    """Passes and arrays of the trees follow the splits there are, not the depth that is allowed."""
+    df = spark.createDataFrame([(i, float(i % 2) * 50 + i % 7, "ab"[i % 2]) for i in range(60)], "id bigint, x double, c string")
+    f = forests.ExtraTrees(["x"], ["c"], trees=3, depth=30, min_leaf=8).fit(df, "id")
+    nodes = [r["cells"] for r in f.leaves(df, "id").collect()]
+    assert len(nodes) == 60 and f.splits and all((t, n) not in f.splits and (n == 1 or (t, n // 2) in f.splits) for r in nodes for t, n in enumerate(r))
+
+
 def test_kmeans_of_loose_groups(spark):
     """Loose groups without common cells are found, also from seeds with which a single start merges two of them."""
     rng = np.random.default_rng(0)
