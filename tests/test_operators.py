@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -248,6 +249,20 @@ def test_forests(spark):
     assert box.count() == 80 and {r[0] for r in box.select("sex").distinct().collect()} <= {"female", "male"}
 
 
+def test_neighbours_are_compared_in_narrow_types():
+    """Wide cells are renumbered before they are compared; neighbours and ties are those of all pairs."""
+    rng = np.random.default_rng(3)
+    x, ids = rng.integers(0, 3, (90, 6)) * 10**15, rng.permutation(90)
+    assert pairs._narrow(x, x)[0].dtype == np.uint8
+    d = (x[:, None] != x[None]).sum(2)
+    assert (pairs._apart(x, x, None) == d).all() and (pairs._apart(x[:, :1].repeat(300, 1), x[:, :1].repeat(300, 1), None).max() == 300)
+    frame = pd.DataFrame({"id": ids, "cells": list(x)})
+    for k in (4, 200):
+        got = pairs._nearest(k)(frame, frame, True)
+        want = {(int(ids[i]), *(int(v) for v in p)) for i in range(90) for p in sorted((d[i, j], ids[j]) for j in range(90) if j != i)[:k]}
+        assert len(got) == len(want) and {(r.src, r.dist, r.dst) for r in got.itertuples()} == want
+
+
 def test_deep_trees_of_few_rows(spark):
     """Passes and arrays of the trees follow the splits there are, not the depth that is allowed."""
     df = spark.createDataFrame([(i, float(i % 2) * 50 + i % 7, "ab"[i % 2]) for i in range(60)], "id bigint, x double, c string")
